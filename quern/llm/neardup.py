@@ -135,6 +135,7 @@ def frequent_shingles(records: DataFrame, run: int, least_words: int, share: flo
     tasks leave out can't hide it. At most 2 * (mean shingles a text) / share values, whatever the size of the corpus.
     """
     counts = records.select("text").mapInArrow(lambda it: _count_shingles(it, run, least_words, share), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = materialize(counts, "shingles")
     total = counts.where("h = -1")
     rows = counts.join(F.broadcast(total.select(F.col("c").alias("n"))), F.col("c") >= F.col("n") * (share / 2)).where("h >= 0").select("h").collect()
     return np.sort(np.array([r[0] for r in rows], np.int64)).astype(np.uint32)
