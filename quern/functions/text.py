@@ -35,10 +35,11 @@ def tokens(c: Column) -> Column:
 
 def ngrams(toks: Column, low: int, high: int) -> Column:
     """All n-grams of ``low`` to ``high`` tokens, shortest first, in order of the text."""
-    return F.flatten(F.array(*[
-        F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i, n=n: F.concat_ws(" ", F.slice(toks, i, n)))).otherwise(F.array().cast("array<string>"))
-        for n in range(low, high + 1)
-    ]))
+    def of(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(toks, i, n)))
+        return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*[of(n) for n in range(low, high + 1)]))
 
 
 def is_short_low_info(c: Column) -> Column:

@@ -31,11 +31,12 @@ def match_aliases(texts: DataFrame, key: str, text: str, aliases: DataFrame, mos
     """
     lookup = alias_table(aliases, most_words).select("gram").distinct()
     toks = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.monotonically_increasing_id().alias("__row"), tokens(normalize_match_text(F.col(text))).alias("__t"))
-    places = F.flatten(F.array(*[
-        F.when(F.size("__t") >= n, F.transform(F.sequence(F.lit(0), F.size("__t") - n), lambda i, n=n: F.struct(F.concat_ws(" ", F.slice("__t", i + 1, n)).alias("gram"), i.alias("first"), F.lit(n).alias("words"))))
-        .otherwise(F.array().cast("array<struct<gram:string,first:int,words:int>>"))
-        for n in range(1, most_words + 1)
-    ]))
+
+    def of(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.size("__t") - n), lambda i: F.struct(F.concat_ws(" ", F.slice("__t", i + 1, n)).alias("gram"), i.alias("first"), F.lit(n).alias("words")))
+        return F.when(F.size("__t") >= n, found).otherwise(F.array().cast("array<struct<gram:string,first:int,words:int>>"))
+
+    places = F.flatten(F.array(*[of(n) for n in range(1, most_words + 1)]))
     grams = toks.select("__key", "__row", F.explode(places).alias("p")).select("__key", "__row", "p.*")
     hits = grams.join(checked_broadcast(lookup), "gram")
     order = F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("neg"), F.col("first"), F.col("gram"), F.col("words"))))

@@ -339,6 +339,12 @@ ORACLE = {
     "month_phase": """SELECT CASE WHEN l_shipdate::DATE BETWEEN o_orderdate::DATE - INTERVAL 1 MONTH AND o_orderdate::DATE THEN 'pre' WHEN l_shipdate::DATE BETWEEN o_orderdate::DATE AND o_orderdate::DATE + INTERVAL 7 DAY THEN 'post' ELSE 'outside' END phase,
         year(o_orderdate) AS year, count(*) n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "three_way_concat": """SELECT o_orderkey, o_orderstatus, coalesce(string_agg(DISTINCT p_brand, ',' ORDER BY p_brand), '') brands, count(*) n FROM orders JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
+    "thread_inheritance": f"""WITH m AS (SELECT channel || ':' || id k, channel || ':' || parent_id p, trim(regexp_replace(translate(lower(text), 'ё—–', 'е--'), '[^a-zа-я0-9.-]+', ' ', 'g')) t FROM {_MD}),
+        r AS (SELECT k, p, len(regexp_extract_all(t, '[a-zа-я0-9]+(?:[-.][a-zа-я0-9]+)*')) <= 2 OR t IN ('ага', 'угу', 'ок', 'окей', 'да', 'нет', 'согласен', 'не согласен', 'норм', 'лол', 'жесть', 'имхо', 'ясно', 'понятно', 'спасибо', 'thanks') short FROM m WHERE p IS NOT NULL),
+        o AS (SELECT DISTINCT source_key k, entity_level AS level, issuer FROM telegram_matches WHERE match_origin = 'explicit')
+        SELECT r.k, o.k AS anchor, o.issuer, o.level FROM r JOIN o ON r.p = o.k WHERE r.k NOT IN (SELECT k FROM o) AND (NOT short OR r.p IN (SELECT k FROM o WHERE level = 'offering'))""",
+    "reaction_counts": """WITH k AS (SELECT channel, reactions_detail j, unnest(json_keys(reactions_detail)) kind FROM messages WHERE reactions_detail <> '' AND json_valid(reactions_detail))
+        SELECT channel, kind, sum(CAST(json_extract(j, '$."' || kind || '"') AS BIGINT))::BIGINT n FROM k GROUP BY ALL""",
     "anti_unmatched": """SELECT channel, count(*) n FROM (SELECT DISTINCT channel || ':' || id k, channel FROM messages WHERE regexp_matches(lower(text), 'купон|оферт|облигац')) WHERE k NOT IN (SELECT source_key FROM telegram_matches WHERE source_key IS NOT NULL) GROUP BY channel""",
     "semi_or_nolink": """SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""",
     "best_prefix_match": """WITH s AS (SELECT DISTINCT emitent_name, lower(trim(emitent_name)) q FROM searches WHERE emitent_name IS NOT NULL), a AS (SELECT DISTINCT alias, lower(trim(alias)) i FROM issuer_aliases WHERE alias IS NOT NULL),

@@ -60,7 +60,7 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     hits = interval_join(m, o, "issuer", "ts", "start", "book_open", "[]", BUCKET)
     per = hits.groupBy("offering_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("types"))
     per = o.select("offering_id", "issuer").join(per, "offering_id", "left").na.fill(0)
-    return per.groupBy("issuer").agg(F.count(F.lit(1)).alias("offerings"), F.count_if(F.col("n") > 0).alias("covered"), F.round(F.avg("n"), 6).alias("mean_n"), F.percentile("n", F.lit(0.5)).alias("median_n"), F.percentile("n", F.lit(0.9)).alias("p90_n"), F.max("types").alias("most_types"))
+    return per.groupBy("issuer").agg(F.count(F.lit(1)).alias("offerings"), F.count_if(F.col("n") > 0).alias("covered"), F.round(F.avg("n"), 6).alias("mean_n"), F.percentile("n", F.lit(0.5)).alias("median_n"), F.round(F.percentile("n", F.lit(0.9)), 6).alias("p90_n"), F.max("types").alias("most_types"))
 
 
 def scope_priority(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,7 @@ ORACLE = {
         SELECT 'event:' || offering_id || '|' || event_id AS mention_uid, event_id, offering_id, events_per_mention FROM h QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY book_open, offering_id) = 1""",
     "coverage_closed_closed": """WITH o AS (SELECT event_id offering_id, user_id issuer, ts FROM events WHERE event_type = 'purchase'),
         p AS (SELECT o.offering_id, o.issuer, count(m.event_id) n, count(DISTINCT m.event_type) types FROM o LEFT JOIN events m ON m.event_type <> 'purchase' AND m.user_id = o.issuer AND m.ts BETWEEN o.ts - INTERVAL 7 DAY AND o.ts GROUP BY ALL)
-        SELECT issuer, count(*) offerings, count(*) FILTER (n > 0) covered, round(avg(n), 6) mean_n, quantile_cont(n, 0.5) median_n, quantile_cont(n, 0.9) p90_n, max(types) most_types FROM p GROUP BY issuer""",
+        SELECT issuer, count(*) offerings, count(*) FILTER (n > 0) covered, round(avg(n), 6) mean_n, quantile_cont(n, 0.5) median_n, round(quantile_cont(n, 0.9), 6) p90_n, max(types) most_types FROM p GROUP BY issuer""",
     "scope_priority_dedupe": """WITH u AS (SELECT event_id, user_id, 'offering' scope, value * 2 v FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, user_id, 'issuer', value FROM events WHERE event_type <> 'error'),
         f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY scope <> 'offering', v) = 1)
         SELECT user_id, scope, count(*) n, round(sum(v), 4) total FROM f GROUP BY ALL""",
