@@ -34,7 +34,7 @@ def tokens(c: Column) -> Column:
 
 
 def ngrams(toks: Column, low: int, high: int) -> Column:
-    """All n-grams of ``low`` to ``high`` tokens, shortest first, in order of the text."""
+    """All n-grams of ``low`` to ``high`` tokens, shortest first, in order of the text. ``toks`` should be a stored column: it is read for each n-gram."""
     def of(n: int) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(toks, i, n)))
         return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))

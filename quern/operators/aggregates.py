@@ -36,12 +36,13 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row a column: n, missing, moments (bias-corrected skewness and kurtosis) and exact percentiles."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns])).alias("p")).select("p.*")
     n, g1, g2 = F.count("x").cast("double"), F.skewness("x"), F.kurtosis("x")
-    pct = lambda q: F.percentile("x", F.lit(q))
-    return long.groupBy("variable").agg(
-        F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
-        pct(0.01).alias("p01"), pct(0.05).alias("p05"), pct(0.25).alias("p25"), pct(0.5).alias("median"), pct(0.75).alias("p75"), pct(0.95).alias("p95"), pct(0.99).alias("p99"), F.max("x").alias("max"),
+    quantiles = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    out = long.groupBy("variable").agg(
+        F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
+        F.percentile("x", F.array(*[F.lit(q) for q in quantiles.values()])).alias("__q"),
         F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurtosis"),
     )
+    return out.select("variable", "n", "missing", "mean", "std", "min", *[F.col("__q")[i].alias(k) for i, k in enumerate(quantiles)], "max", "skew", "kurtosis")
 
 
 def category_counts(df: DataFrame, columns: list[str], top: int = 25) -> DataFrame:

@@ -49,12 +49,15 @@ def asof_join(targets: DataFrame, history: DataFrame, key: str, at: str, history
     t = targets.where(known).select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.struct("*").alias("__row")).withColumn("__b", bucket)
     sums = h.groupBy("__k", "__b").agg(F.max_by("__v", F.struct("__t", "__o")).alias("__lv"), F.min_by("__v", F.struct("__t", "__o")).alias("__fv"))
     grid = sums.unionByName(t.select("__k", "__b").distinct().join(sums, ["__k", "__b"], "left_anti"), allowMissingColumns=True)
-    over = Window.partitionBy("__k").orderBy("__b")
-    grid = grid.select("__k", "__b", F.last("__lv", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__prev"), F.first("__fv", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
+    # frames that grow from the start cost one step a row; one that runs to the end would be read anew for each row
+    up, down = Window.partitionBy("__k").orderBy("__b"), Window.partitionBy("__k").orderBy(F.desc("__b"))
+    grid = grid.select("__k", "__b", F.last("__lv", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("__prev"), F.last("__fv", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("__later"))
     both = h.withColumn("__side", F.lit(0)).unionByName(t.withColumn("__side", F.lit(1)).withColumn("__o", F.lit(0).cast("bigint")), allowMissingColumns=True)
     w = Window.partitionBy("__k", "__b").orderBy("__t", "__side", "__o")
     both = both.withColumn("__last", F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("__next", F.first("__v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    if fallback:
+        back = Window.partitionBy("__k", "__b").orderBy(F.desc("__t"), F.desc("__side"), F.desc("__o"))
+        both = both.withColumn("__next", F.last("__v", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     rows = both.where("__side = 1").join(grid, ["__k", "__b"], "left")
     before = F.coalesce("__last", "__prev")
     after = F.coalesce("__next", "__later") if fallback else F.lit(None).cast(both.schema["__v"].dataType)
@@ -67,11 +70,11 @@ def asof_join(targets: DataFrame, history: DataFrame, key: str, at: str, history
 def next_in_calendar(events: DataFrame, calendar: DataFrame, at: str, day: str) -> DataFrame:
     """Each event with the first calendar day at or after it, ``next_day``; null past the end. The calendar is a column of distinct days."""
     days = calendar.select(F.col(day).alias("__d")).where("__d is not null").distinct()
-    both = days.select(F.col("__d").alias("__t"), F.lit(1).alias("__side")).unionByName(events.select(F.col(at).alias("__t"), F.lit(0).alias("__side"), F.struct("*").alias("__row")), allowMissingColumns=True)
-    w = Window.partitionBy(F.year("__t")).orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
+    both = days.select(F.col("__d").alias("__t"), F.lit(0).alias("__side")).unionByName(events.select(F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct("*").alias("__row")), allowMissingColumns=True)
+    w = Window.partitionBy(F.year("__t")).orderBy(F.desc("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0)
     firsts = days.groupBy(F.year("__d").alias("__y")).agg(F.min("__d").alias("__f"))
-    both = both.withColumn("__n", F.min(F.when(F.col("__side") == 1, F.col("__t"))).over(w))
-    rows = both.where("__side = 0").withColumn("__y", F.year("__t"))
+    both = both.withColumn("__n", F.min(F.when(F.col("__side") == 0, F.col("__t"))).over(w))
+    rows = both.where("__side = 1").withColumn("__y", F.year("__t"))
     later = rows.where("__n is null and __t is not null").join(checked_broadcast(firsts.withColumnRenamed("__y", "__fy")), F.col("__fy") > F.col("__y"), "left").groupBy("__row").agg(F.min("__f").alias("next_day"), F.count(F.lit(1)).alias("__c"))
     known = rows.where("__n is not null or __t is null").select("__row.*", F.col("__n").alias("next_day"))
     return known.unionByName(later.select("__row.*", "next_day"))

@@ -75,8 +75,8 @@ def mine_aliases(texts: DataFrame, group: str, text: str, low: int = 1, high: in
 
     score = in / (1 + out) * ln(1 + in). Grams of a text count once. Counts are over all texts; what lies outside is the total less the own.
     """
-    toks = tokens(normalize_mining_text(F.col(text)))
-    grams = texts.where(F.col(group).isNotNull()).select(F.col(group), F.explode(F.array_distinct(ngrams(toks, low, high))).alias("gram"))
+    toks = texts.where(F.col(group).isNotNull()).select(F.col(group), tokens(normalize_mining_text(F.col(text))).alias("__t"))
+    grams = toks.select(F.col(group), F.explode(F.array_distinct(ngrams(F.col("__t"), low, high))).alias("gram"))
     grams = grams.where((F.length("gram") >= 3) & ~F.col("gram").rlike(r"^[0-9 .-]+$"))
     own = grams.groupBy(group, "gram").agg(F.count(F.lit(1)).alias("docs_in"))
     total = own.groupBy("gram").agg(F.sum("docs_in").alias("__all"))

@@ -22,7 +22,8 @@ def clean_posts(spark, d):
 
 def bigram_counts(spark, d):
     """The 500 most frequent bigrams of the documents: a top-k report."""
-    g = table(spark, d, "documents", "text").select(F.explode(T.ngrams(T.tokens(T.normalize_match_text(F.col("text"))), 2, 2)).alias("gram"))
+    t = table(spark, d, "documents", "text").select(T.tokens(T.normalize_match_text(F.col("text"))).alias("t"))
+    g = t.select(F.explode(T.ngrams(F.col("t"), 2, 2)).alias("gram"))
     return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(500)
 
 
