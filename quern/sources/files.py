@@ -57,7 +57,7 @@ def html_cells(df: DataFrame, html: str, label: str, out: str) -> DataFrame:
     """The table cell behind the one that holds ``label``; where there is none, the text behind the label up to the end of its line."""
     cell = F.regexp_extract(html, rf"(?is)<t[dh][^>]*>\s*{label}\s*:?\s*</t[dh]>\s*<td[^>]*>(.*?)</td>", 1)
     line = F.regexp_extract(F.regexp_replace(html, r"(?s)<[^>]+>", "\n"), rf"(?i){label}\s*:?\s*([^\n]+)", 1)
-    text = F.coalesce(F.nullif(F.trim(F.regexp_replace(cell, r"(?s)<[^>]+>", " ")), F.lit("")), F.nullif(F.trim(line), F.lit("")))
+    text = F.coalesce(F.nullif(F.trim(F.regexp_replace(cell, r"(?s)(?:<[^>]+>|\s)+", " ")), F.lit("")), F.nullif(F.trim(line), F.lit("")))
     return df.withColumn(out, text)
 
 
