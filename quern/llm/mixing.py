@@ -115,6 +115,7 @@ def mix_report(mixture: DataFrame, sizes: DataFrame, targets: DataFrame) -> Data
     used = mixture.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("copy_no").alias("most_uses"))
     have = sizes.where("source is not null and doc_id is not null").groupBy("source", "doc_id").agg(F.max("tokens").alias("tokens")).groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
     total = mixture.agg(F.sum("tokens").alias("total"))
+    targets = targets.select("source", "target_share", "max_repeats")
     out = targets.join(used, "source", "left").join(have, "source", "left").crossJoin(F.broadcast(total)).na.fill(0, ["tokens", "uses", "most_uses", "source_tokens"])
     share = F.coalesce(F.try_divide(F.col("tokens"), F.col("total")), F.lit(0.0))
     return out.select("source", "target_share", "max_repeats", "source_tokens", "tokens", "uses", "most_uses", F.round(share, 6).alias("share_reached"),
