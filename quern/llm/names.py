@@ -252,9 +252,8 @@ def link_names(names: DataFrame, register: Register) -> DataFrame:
     organisations reach with the same score, link to none.
     """
     spark = names.sparkSession
-    forms = spark.createDataFrame(pa.Table.from_pylist([]), "key bigint, registered string, issuer string, cost double, rarity double") if not register.forms else spark.createDataFrame(
-        pa.table(dict(zip(("key", "registered", "issuer", "cost", "rarity"), map(list, zip(*register.rows())))))
-    )
+    columns = dict(zip(("key", "registered", "issuer", "cost", "rarity"), map(list, zip(*register.rows()))))
+    forms = spark.createDataFrame(pa.table(columns)) if columns else spark.createDataFrame([], "key bigint, registered string, issuer string, cost double, rarity double")
     exploded = names.where("name is not null").select("name").distinct().mapInArrow(functools.partial(_explode_forms, known=register.known), "name string, form string, key bigint")
     hits = exploded.join(checked_broadcast(forms, 2_000_000), "key").groupBy("name", "form", "registered", "issuer").agg(F.min("cost").alias("cost"), F.max("rarity").alias("rarity"))
     hits = hits.mapInArrow(_distances, "name string, form string, registered string, issuer string, cost double, rarity double, edits int")

@@ -192,7 +192,7 @@ def _persons(text: str) -> list[Candidate]:
                 span = i, b + 1, "i" * count + ("s" if word_class(tokens[b + 1][0]) == "s" else "x")
             elif i - 1 > used and near(i - 1, i, r",?[  ]{1,2}") and len(tokens[i - 1][0]) > 3 and capital(i - 1):
                 prev = word_class(tokens[i - 1][0])
-                if prev == "s" or count > 1:
+                if prev == "s" or count > 1 or "," in text[tokens[i - 1][2] : start] and len(tokens[i - 1][0]) > 4:
                     span = i - 1, b, ("s" if prev == "s" else "x") + "i" * count
         if span:
             a, b, form = span
@@ -201,7 +201,7 @@ def _persons(text: str) -> list[Candidate]:
             s, e = tokens[a][1], tokens[b][2] + (form.endswith("i"))
             case = "upper" if all(x.isupper() for x in words) else "lower" if all(x.islower() for x in words) else "title"
             sure = 1 if "p" in form and "s" in form and case != "lower" else 1 if form in ("gs", "sg") and case == "title" and re.search("[а-яё]", words[0]) else None
-            out.append(Candidate(s, e, "person_name", ["person", f"form={form}", f"case={case}", f"lowx={case == 'lower' and 'x' in form}", f"whole={s == 0 and e >= len(text.rstrip())}", *_around(text, s, e)], {"n:" + surname[:5]} if len(surname) > 4 else set(), sure))
+            out.append(Candidate(s, e, "person_name", ["person", f"form={form}", f"case={case}", f"lowx={case == 'lower' and 'x' in form}", f"whole={s == 0 and e >= len(text.rstrip())}", f"comma={',' in text[s:e]}", *_around(text, s, e)], {"n:" + surname[:5]} if len(surname) > 4 else set(), sure))
             used = b
             i = b + 1
             continue
@@ -251,7 +251,7 @@ def candidates(text: str | None) -> list[Candidate]:
     return sorted(kept, key=lambda c: c.start)
 
 
-PRIOR = {"phone": 1.5, "formed=True": 1.0, "id": 0.5, "strict=True": 2.0, "doubt=True": -2.5, "money=True": -5.0, "email": 2.0, "tld=False": -3.0, "address": 1.5, "flat=True": 1.0, "person": 0.5, "form=gx": -1.0, "form=ix": -2.5, "form=xi": -3.0, "form=xii": -1.5, "form=iix": -0.5, "form=xgp": 0.5, "lowx=True": -2.0, "whole=True": 1.5}
+PRIOR = {"phone": 1.5, "formed=True": 1.0, "id": 0.5, "strict=True": 2.0, "doubt=True": -2.5, "money=True": -5.0, "email": 2.0, "tld=False": -3.0, "address": 1.5, "flat=True": 1.0, "person": 0.5, "form=gx": -1.0, "form=ix": -2.5, "form=xi": -3.0, "form=xii": -1.5, "form=iix": -0.5, "form=xgp": 0.5, "lowx=True": -2.0, "whole=True": 1.5, "comma=True": 1.0}
 
 
 class SkipChainCRF:
