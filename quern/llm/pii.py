@@ -62,8 +62,8 @@ _KEYWORD = re.compile(r"(паспорт\w*|пасп\.?|снилс|инн\b|на
 _PASSPORT, _SNILS = re.compile(r"пасп|passport", re.I), re.compile(r"снилс|страхов|insurance", re.I)
 _COMPANY = re.compile(r"(эмитент|компани|организаци|выпуск|облигац|isin|номером|регистрац|ogrn|огрн)", re.I)
 _MONEY = re.compile(r"^\s*(руб|тыс|млн|млрд|₽|\$|€|usd|бумаг|штук|лот)", re.I)
-_STREET_HINT = ("ул", "пр-т", "прт", "просп", "пер", "наб", "шоссе", "бульв", "б-р", "площ", "проезд", "street", "road", "avenue", "lane", "drive", "square")
-_STREET_WORD = re.compile(rf"(?<!\w)(?:{STREETS}|street|road|avenue|lane|square|drive|boulevard|way|st|rd|ave)(?!\w)", re.I)
+_STREET_HINT = ("ул", "пр-т", "прт", "просп", "пер", "наб", "шоссе", "бульв", "б-р", "площ", "проезд", "street", "road", "avenue", "lane", "drive", "square", "court", "boulevard", "apt")
+_STREET_WORD = re.compile(rf"(?<!\w)(?:{STREETS}|street|road|avenue|lane|square|drive|boulevard|court|way|st|rd|ave|apt)(?!\w)", re.I)
 
 
 @dataclass
@@ -114,7 +114,7 @@ def _around(text: str, start: int, end: int) -> list[str]:
 def _number(text: str, m: re.Match) -> Candidate | None:
     s = m.group()
     digits = re.sub(r"\D", "", s)
-    left = text[max(0, m.start() - 30) : m.start()]
+    left = re.split(r"[\d\n;]", text[max(0, m.start() - 30) : m.start()])[-1]  # a keyword before another number belongs to that
     keyword = bool(_KEYWORD.search(left)) and not _COMPANY.search(left[_KEYWORD.search(left).start() :])
     money = bool(_MONEY.match(text[m.end() : m.end() + 8]))
     shape = re.sub(r"\d+", lambda x: str(len(x[0])), re.sub(r"\s*(?:номер|№)\s*", "#", s.strip()))
@@ -174,7 +174,7 @@ def _persons(text: str) -> list[Candidate]:
             if behind and not (ahead == "s" and behind == "x"):
                 b += 1
                 form.append(behind)
-            elif ahead == "s" or ahead == "x" and "p" in form:
+            elif ahead:
                 a -= 1
                 form.insert(0, ahead)
             if len(form) > 1:
@@ -251,7 +251,7 @@ def candidates(text: str | None) -> list[Candidate]:
     return sorted(kept, key=lambda c: c.start)
 
 
-PRIOR = {"phone": 1.5, "formed=True": 1.0, "id": 0.5, "strict=True": 2.0, "doubt=True": -2.5, "money=True": -5.0, "email": 2.0, "tld=False": -3.0, "address": 1.5, "flat=True": 1.0, "person": 0.5, "form=gx": -1.0, "form=ix": -2.5, "form=xi": -3.0, "form=xii": -1.5, "form=iix": -0.5, "form=xgp": 0.5, "lowx=True": -2.0, "whole=True": 1.5, "comma=True": 1.0}
+PRIOR = {"phone": 1.5, "formed=True": 1.0, "id": 0.5, "strict=True": 2.0, "doubt=True": -2.5, "money=True": -5.0, "email": 2.0, "tld=False": -3.0, "address": 1.5, "flat=True": 1.0, "person": 0.5, "form=gx": -1.0, "form=xg": -1.5, "form=ix": -2.5, "form=xi": -3.0, "form=xii": -1.5, "form=iix": -0.5, "form=xgp": 0.5, "lowx=True": -2.0, "whole=True": 1.5, "comma=True": 1.0}
 
 
 class SkipChainCRF:
