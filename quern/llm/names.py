@@ -346,7 +346,7 @@ def link_fields(fields: DataFrame, texts: DataFrame, aliases: DataFrame) -> Data
     """(tbl, row_key, issuer, written, listed): organisations named in ``fields`` (tbl, row_key, name: a name each) and ``texts`` (tbl, row_key, text).
 
     ``written`` is the spelling, ``listed`` whether it is one of the organisation's own in the register (letter case,
-    punctuation and ё/е aside). Rows with null keys, names or texts take no part; repeated rows give one row. Names that link to none are left out.
+    punctuation and ё/е aside); in a text a legal form or a word like 'group' beside a listed spelling is no part of the name. Rows with null keys, names or texts take no part; repeated rows give one row. Names that link to none are left out.
     """
     spark = aliases.sparkSession
     register = register_of(aliases)
@@ -356,12 +356,17 @@ def link_fields(fields: DataFrame, texts: DataFrame, aliases: DataFrame) -> Data
     )
     fields = fields.where("row_key is not null and name is not null").select("tbl", "row_key", "name").distinct()
     links = materialize(link_names(fields.select("name").unionByName(windows.select("name")), register), "links")
-    own = fields.join(links, "name").select("tbl", "row_key", "issuer", F.col("name").alias("written"))
+    own = fields.join(links, "name").select("tbl", "row_key", "issuer", F.col("name").alias("written"), F.col("name").alias("core"))
     best = Window.partitionBy("row_key", "anchor").orderBy(F.desc(F.length("registered") + 2 * F.col("score")), F.length("written"))
     inside = windows.join(links, "name").withColumn("place", F.row_number().over(best)).where("place = 1")
     parts = F.split("row_key", "\u0001")
-    inside = inside.select(parts[0].alias("tbl"), parts[1].alias("row_key"), "issuer", "written")
-    listed = spark.createDataFrame([(i, p) for i, s in register.listed.items() for p in s] or [("", "")], "issuer string, plain string").withColumn("listed", F.lit(True))
-    plained = F.trim(F.regexp_replace(F.translate(F.lower(F.col("written")), "ё", "е"), r"[^\p{L}\p{N}]+", " "))
-    out = own.unionByName(inside).distinct().withColumn("plain", plained).join(checked_broadcast(listed), ["issuer", "plain"], "left")
-    return out.select("tbl", "row_key", "issuer", "written", F.coalesce("listed", F.lit(False)).alias("listed"))
+    inside = inside.select(parts[0].alias("tbl"), parts[1].alias("row_key"), "issuer", "written", F.col("name").alias("core"))
+    listed = checked_broadcast(spark.createDataFrame([(i, p) for i, s in register.listed.items() for p in s] or [("", "")], "issuer string, plain string"))
+
+    def plained(c: str):
+        return F.trim(F.regexp_replace(F.translate(F.lower(F.col(c)), "ё", "е"), r"[^\p{L}\p{N}]+", " "))
+
+    out = own.unionByName(inside).distinct().withColumn("__w", plained("written")).withColumn("__c", plained("core"))
+    for c in ("__w", "__c"):
+        out = out.join(listed.select("issuer", F.col("plain").alias(c), F.lit(True).alias(f"{c}_listed")), ["issuer", c], "left")
+    return out.select("tbl", "row_key", "issuer", "written", (F.col("__w_listed").isNotNull() | F.col("__c_listed").isNotNull()).alias("listed")).distinct()

@@ -17,7 +17,7 @@ def test_links(spark):
     aliases = spark.createDataFrame(ALIASES, "issuer string, alias string")
     names = [(k, v) for k, vs in VARIANTS.items() for v in vs]
     fields = [("f", str(i), v, 1) for i, (_, v) in enumerate(names)] + [("f", "listed", "вольнопорт", 1), ("f", "out1", "Мигоферн Энерго", 1), ("f", "out2", "Тетразанг", 1), ("f", "null", None, 1), ("f", None, "Жемчугокюч", 1), ("f", "empty", "", 1), ("f", "long", "слово " * 5000, 1), ("f", "0", names[0][1], 1)]
-    texts = [("p", "1", "Вчера холдинг Жемчугоключ разместил бумаги, а корп. Сполохдра Фарм ждёт.", 1), ("p", "2", None, 1), ("p", "3", "", 1), ("p", "4", "Книга Жемчугоключу открыта; по Вольнопорт Транзит спред 5 б.п.", 1), ("p", "5", "Просто текст про облигации. " * 3000, 1)]
+    texts = [("p", "1", "Вчера холдинг Жемчугоключ разместил бумаги, а корп. Сполохдра Фарм ждёт; группа Вольнопорт включает 3 общества.", 1), ("p", "2", None, 1), ("p", "3", "", 1), ("p", "4", "Книга Жемчугоключу открыта; по Вольнопорт Транзит спред 5 б.п.", 1), ("p", "5", "Просто текст про облигации. " * 3000, 1)]
     df = spark.createDataFrame(fields, "tbl string, row_key string, name string, issuer int")
     tx = spark.createDataFrame(texts, "tbl string, row_key string, text string, issuer int")
     rows = link_fields(df, tx, aliases).collect()
@@ -25,7 +25,7 @@ def test_links(spark):
     assert {v: (got.get(str(i)), k) for i, (k, v) in enumerate(names) if got.get(str(i)) != k} == {}
     assert set(got) == {str(i) for i in range(len(names))} | {"listed"} and all(r["listed"] == (r["row_key"] == "listed") for r in rows if r["tbl"] == "f")
     inside = {(r["row_key"], r["issuer"], r["listed"]) for r in rows if r["tbl"] == "p"}
-    assert inside == {("1", "ПАО «Жемчугоключ»", True), ("1", "ГК Сполохдар Фарм", False), ("4", "ПАО «Жемчугоключ»", False), ("4", "АО «Вольнопорт Транзит»", True)}
+    assert inside == {("1", "ПАО «Жемчугоключ»", True), ("1", "ГК Сполохдар Фарм", False), ("1", "АО «Вольнопорт»", True), ("4", "ПАО «Жемчугоключ»", False), ("4", "АО «Вольнопорт Транзит»", True)}
 
 
 def test_empty(spark):
