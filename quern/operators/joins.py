@@ -129,3 +129,22 @@ def best_match(queries: DataFrame, items: DataFrame, query: str, item: str, pref
     rank = F.when(F.col("__i") == F.col("__q"), 0).when(F.startswith("__i", "__q"), 1).when(F.startswith("__q", "__i"), 2)
     best = pairs.groupBy(*queries.columns).agg(F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col("match")))).alias("__b"))
     return best.select(*queries.columns, F.col("__b.match").alias("match"), F.col("__b.rank").alias("match_rank"))
+
+
+def substring_match(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of distinct texts of which one contains the other, letter case aside.
+
+    A text contained whole words and all shares its rarest word with the other, so candidates come by an equi-join on words: of each text of a
+    pair the one that is contained brings one word, the other all of its. Matches that cut words are not found.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    l = left.select(F.col(a).alias("__a")).where("__a is not null").distinct().withColumn("__w", words(F.col("__a")))
+    r = right.select(F.col(b).alias("__b")).where("__b is not null").distinct().withColumn("__w", words(F.col("__b")))
+    every = l.select(F.explode("__w").alias("w")).unionByName(r.select(F.explode("__w").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+    def rarest(df, key):
+        return df.select(key, F.explode("__w").alias("w")).join(every, "w").groupBy(key).agg(F.min_by("w", F.struct("n", "w")).alias("w"))
+
+    inside = rarest(l, "__a").join(r.select("__b", F.explode("__w").alias("w")), "w").where(F.contains(F.lower("__b"), F.lower("__a")))
+    around = rarest(r, "__b").join(l.select("__a", F.explode("__w").alias("w")), "w").where(F.contains(F.lower("__a"), F.lower("__b")))
+    return inside.select(F.col("__a").alias(a), F.col("__b").alias(b)).unionByName(around.select(F.col("__a").alias(a), F.col("__b").alias(b))).distinct()

@@ -135,3 +135,32 @@ def balance_by_mixing(df: DataFrame, key: str, vector: str, label: str, share: f
     mix = F.zip_with("va", "vb", lambda x, y: F.col("alpha") * x + (1 - F.col("alpha")) * y)
     total = F.aggregate(mix, F.lit(0.0), lambda s, v: s + F.abs(v))
     return pairs.select(label, "a", "b", "alpha", F.transform(mix, lambda v: F.try_divide(v, total)).alias("vector"))
+
+
+def model_scores(df: DataFrame, features: list[str], label: str, year: str, test_year: int, seed: int = 1) -> list[tuple[str, float]]:
+    """(model, AUC) of logistic regression, random forest and boosted trees trained on the years before ``test_year``."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=[*features, label, year]))
+    train, test = rows.where(F.col(year) < test_year), rows.where(F.col(year) == test_year)
+    models = {"logistic": LogisticRegression(labelCol=label), "forest": RandomForestClassifier(labelCol=label, numTrees=30, maxDepth=5, minInstancesPerNode=10, seed=seed), "boosted": GBTClassifier(labelCol=label, maxIter=10, seed=seed)}
+    return [(k, BinaryClassificationEvaluator(labelCol=label).evaluate(m.fit(train).transform(test))) for k, m in models.items()]
+
+
+def regression_scores(df: DataFrame, predicted: str, actual: str) -> DataFrame:
+    """(n, rmse, mae, r2) in one pass."""
+    e = F.col(actual) - F.col(predicted)
+    rows = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.sum(e * e), F.var_pop(actual) * F.count(F.lit(1)))).alias("r2"))
+
+
+def multinomial(df: DataFrame, features: list[str], label: str) -> list[tuple[int, str, float]]:
+    """(class, term, coefficient) of a multinomial logit; Spark's coefficients are centred over the classes."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=[*features, label]))
+    m = LogisticRegression(labelCol=label, family="multinomial", maxIter=100).fit(rows)
+    return [(c, t, float(v)) for c in range(m.numClasses) for t, v in [("const", m.interceptVector[c]), *((f, m.coefficientMatrix[c, i]) for i, f in enumerate(features))]]

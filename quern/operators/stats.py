@@ -271,3 +271,45 @@ def bootstrap_means(df: DataFrame, keys: list[str], value: str, draws: int = 200
     weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
     drawn = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("__w", weight)
     return drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("__v") * F.col("__w")), F.sum("__w").cast("double")).alias("mean"))
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 200, seed: int = 1) -> DataFrame:
+    """(draw, mean): bootstrap of a mean by whole clusters with Poisson weights; rows are summed up per cluster first."""
+    sums = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__n"))
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), F.col("draw")), F.lit(1_000_003)) + 0.5) / 1_000_003.0
+    steps, total = [], 0.0
+    for j in range(6):
+        total += math.exp(-1) / math.factorial(j)
+        steps.append(total)
+    weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
+    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__w", weight)
+    return drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("__s") * F.col("__w")), F.sum(F.col("__n") * F.col("__w")).cast("double")).alias("mean"))
+
+
+def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
+    rows = df.dropna(subset=columns)
+    k = len(columns)
+    r = rows.agg(*[F.corr(a, b).alias(f"c{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]).first()
+    m = np.eye(k)
+    for i in range(k):
+        for j in range(i + 1, k):
+            m[i, j] = m[j, i] = r[f"c{i}_{j}"]
+    return m
+
+
+def factor_adequacy(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Kaiser-Meyer-Olkin measure and Bartlett's test of sphericity, from the correlation matrix."""
+    m, n, k = correlation_matrix(df, columns), df.dropna(subset=columns).count(), len(columns)
+    inv = np.linalg.inv(m)
+    d = np.sqrt(np.outer(np.diag(inv), np.diag(inv)))
+    partial, off = -inv / d, ~np.eye(k, dtype=bool)
+    r2, p2 = (m[off] ** 2).sum(), (partial[off] ** 2).sum()
+    stat = -(n - 1 - (2 * k + 5) / 6) * np.log(np.linalg.det(m))
+    return {"kmo": float(r2 / (r2 + p2)), "bartlett": float(stat), "p": chi2_upper(float(stat), k * (k - 1) / 2)}
+
+
+def principal_components(df: DataFrame, columns: list[str]) -> list[tuple[int, float, float]]:
+    """(component, share of variance, running share) of the standardised columns."""
+    v = np.linalg.eigvalsh(correlation_matrix(df, columns))[::-1]
+    share = v / v.sum()
+    return [(i + 1, float(s), float(c)) for i, (s, c) in enumerate(zip(share, np.cumsum(share)))]

@@ -19,10 +19,11 @@ def distinct_events(stream: DataFrame, keys: list[str], at: str, delay: str) ->
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def window_counts(stream: DataFrame, at: str, width: str, keys: list[str], value: str, delay: str, slide: str | None = None) -> DataFrame:
-    """Rows and sum of a value per time window and keys; windows end once the watermark has passed."""
+def window_counts(stream: DataFrame, at: str, width: str, keys: list[str], value: str, delay: str | None, slide: str | None = None) -> DataFrame:
+    """Rows and sum of a value per time window and keys; windows end once the watermark has passed (without ``delay``: the one the stream has)."""
     w = F.window(at, width, slide) if slide else F.window(at, width)
-    return stream.withWatermark(at, delay).groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "total")
+    stream = stream.withWatermark(at, delay) if delay else stream
+    return stream.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "total")
 
 
 def session_counts(stream: DataFrame, at: str, gap: str, key: str, delay: str) -> DataFrame:

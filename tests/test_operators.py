@@ -178,3 +178,23 @@ def test_split_and_nearest(spark):
     v = spark.createDataFrame([(i, [math.cos(i), math.sin(i)], i % 2) for i in range(30)], "k int, v array<double>, l int")
     got = [r["k"] for r in X.nearest(v.where("k = 3"), v, "k", "v", 5).orderBy("place").collect()]
     assert got == sorted((i for i in range(30) if i != 3), key=lambda i: -math.cos(i - 3))[:5]
+
+
+def test_packing_and_factors(spark):
+    from quern.operators.packing import pack
+
+    assert pack([5, 4, 3, 2, 9], 7) == [1, 2, 2, 1, 0] and pack([], 7) == []
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(300, 3))
+    m[:, 2] += m[:, 0]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in m], "a double, b double, c double")
+    r = np.corrcoef(m.T)
+    got = S.factor_adequacy(df, ["a", "b", "c"])
+    assert got["bartlett"] == pytest.approx(-(299 - 11 / 6) * np.log(np.linalg.det(r)), rel=1e-9) and 0 < got["kmo"] < 1 and got["p"] < 1e-6
+    np.testing.assert_allclose([s for _, s, _ in S.principal_components(df, ["a", "b", "c"])], np.linalg.eigvalsh(r)[::-1] / 3, rtol=1e-9)
+
+
+def test_substring_match(spark):
+    a = spark.createDataFrame([("Alpha Beta",), ("x",), (None,), ("gamma",)], "a string")
+    b = spark.createDataFrame([("ao alpha beta ltd",), ("alpha",), ("",), (None,), ("delta",)], "b string")
+    assert {tuple(r) for r in J.substring_match(a, b, "a", "b").collect()} == {("Alpha Beta", "ao alpha beta ltd"), ("Alpha Beta", "alpha")}
