@@ -41,6 +41,8 @@ _SAME = str.maketrans({"ы": "и", "й": "и", "ь": None, "ъ": None, "э": "е
 MOST_EDITS, LEAST_ONE, LEAST_TWO = 2, 6, 8
 #: Score lost for each unit of cost, in units of log rarity.
 COST_WEIGHT = 1.0
+#: A rewriting that costs more (with its edits) is no evidence.
+MOST_COST = 3.4
 #: Windows of a text up to so many words are tried as a name.
 MOST_WORDS = 6
 
@@ -254,11 +256,13 @@ def link_names(names: DataFrame, register: Register) -> DataFrame:
     spark = names.sparkSession
     columns = dict(zip(("key", "registered", "issuer", "cost", "rarity"), map(list, zip(*register.rows()))))
     forms = spark.createDataFrame(pa.table(columns)) if columns else spark.createDataFrame([], "key bigint, registered string, issuer string, cost double, rarity double")
-    exploded = names.where("name is not null").select("name").distinct().mapInArrow(functools.partial(_explode_forms, known=register.known), "name string, form string, key bigint")
+    # the names are few bytes but each is hundreds of keys: spread by number, which adaptive execution leaves alone
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    exploded = names.where("name is not null").select("name").distinct().repartition(parts, "name").mapInArrow(functools.partial(_explode_forms, known=register.known), "name string, form string, key bigint")
     hits = exploded.join(checked_broadcast(forms, 2_000_000), "key").groupBy("name", "form", "registered", "issuer").agg(F.min("cost").alias("cost"), F.max("rarity").alias("rarity"))
     hits = hits.mapInArrow(_distances, "name string, form string, registered string, issuer string, cost double, rarity double, edits int")
     allowed = F.when(F.length("registered") < LEAST_ONE, 0).when(F.length("registered") < LEAST_TWO, 1).otherwise(MOST_EDITS)
-    hits = hits.where(F.col("edits") <= allowed).withColumn("score", F.round(F.col("rarity") - COST_WEIGHT * (F.col("cost") + F.col("edits")), 6))
+    hits = hits.where((F.col("edits") <= allowed) & (F.col("cost") + F.col("edits") <= MOST_COST)).withColumn("score", F.round(F.col("rarity") - COST_WEIGHT * (F.col("cost") + F.col("edits")), 6))
     best = hits.groupBy("name", "issuer").agg(F.max(F.struct("score", "registered")).alias("x"))
     order = Window.partitionBy("name").orderBy(F.desc("x.score"))
     best = best.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("x.score").over(order))
