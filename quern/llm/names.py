@@ -75,6 +75,15 @@ def deletions(form: str) -> Iterator[str]:
             yield "".join(form[a + 1 : b] for a, b in zip((-1, *drop), (*drop, n)))
 
 
+def word_keys(word: str) -> Iterator[str]:
+    """``word`` with up to one letter left out, from seven letters on up to two."""
+    yield word
+    n = len(word)
+    for k in range(1, (n >= 4) + (n >= 7) + 1):
+        for drop in combinations(range(n), k):
+            yield "".join(word[a + 1 : b] for a, b in zip((-1, *drop), (*drop, n)))
+
+
 def edit_distance(a: str, b: str, most: int = MOST_EDITS) -> int:
     """Insertions, deletions, changes and swaps of neighbours between a and b; most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
@@ -204,6 +213,7 @@ class Register:
         self.main = frozenset(w[i : i + 4] for w in heads for i in range(len(w) - 3))
         self.beginnings = frozenset(w[:k] for w in heads for k in range(1, len(w)))
         self.heads = frozenset(heads)
+        self.near = frozenset(k for w in words for k in word_keys(w))
         self.parts = frozenset(x for w in words for x, _ in _stems(w))
 
     def rows(self) -> Iterator[tuple[int, str, str, float, float]]:
@@ -290,7 +300,7 @@ def _windows(batches, register: Register):
             if len(fits) > 500_000:
                 fits.clear()
             f = look(w)[0]
-            fits[w] = not w.isdigit() and (len(f) <= 3 or w in LEGAL or grams_held(f, known) >= 0.3 or f in register.parts)
+            fits[w] = not w.isdigit() and (len(f) <= 3 or w in LEGAL or grams_held(f, known) >= 0.3 or f in register.parts or not register.near.isdisjoint(word_keys(f)))
         return fits[w]
 
     def chunk_words(c):
