@@ -34,6 +34,10 @@ DAY_WORDS = {"сегодня": 0, "today": 0, "вчера": 1, "yesterday": 1, "
 _TIME = r"^(?:в |at )?(\d{1,2})[:.](\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?(?: ?(am|pm))?(?: ?\(?((?:utc|gmt)?[+-]\d{2}(?::?\d{2})?|[a-zа-я]{1,5})\)?)?$"
 
 
+#: A text that names a day and nothing else; the time then stands apart.
+_BARE_DAY = r"^(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.(?:\d{4}|\d{2})(?: ?г\.?)?|\d{1,2}/\d{1,2}/\d{4}|\d{1,2} [а-яёa-z]+\.? \d{4}(?: г\.?)?|сегодня|вчера|позавчера|today|yesterday)$"
+
+
 def _map(pairs: dict[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
@@ -80,22 +84,18 @@ def _with_day(df: DataFrame, text: Column, base: Column | None) -> DataFrame:
     return df.withColumn("__day", F.when(h[0] == "r", relative).when(h[0] == "u", slashed).otherwise(one))
 
 
-def parse_wall_time(df: DataFrame, text: str, out: str, day_text: str | None = None, base_day: str | None = None) -> DataFrame:
+def parse_wall_time(df: DataFrame, text: str, out: str, base_day: str | None = None) -> DataFrame:
     """Add ``out``: struct(day date, time_us bigint, offset_min int, zone string, utc_us bigint, bare_day boolean).
 
     ``utc_us`` is set for epoch seconds or milliseconds only. ``day`` or ``time_us`` is null where the text
     does not name it or names an impossible one; an unknown zone word makes both null. ``bare_day``: the text has a day
-    and nothing after it. Column ``day_text`` gives the day where ``text`` is a bare time. Days named relative to the
-    collection count back from the date in ``base_day``. Slashed dates with the year last are month first when AM/PM
+    and nothing after it. Days named relative to the collection count
+    back from the date in ``base_day``. Slashed dates with the year last are month first when AM/PM
     follows; without it they count only if one reading is possible. Two-digit years are 20yy. Parts that are not
     written are zero.
     """
     columns = df.columns
     base = F.col(base_day) if base_day else None
-    if day_text:
-        df = _with_day(df, F.col(day_text), base)
-        bare = F.coalesce(F.get(F.col("__h"), F.lit(4)), F.lit("")) == ""
-        df = df.withColumn("__other_day", F.when(bare, F.col("__day")))
     df = _with_day(df, F.col(text), base)
     dated = F.col("__h").isNotNull()
     df = df.withColumn("__rest", F.when(dated, F.nullif(F.get(F.col("__h"), F.lit(4)), F.lit(""))).otherwise(F.col("__s")))
@@ -115,9 +115,8 @@ def parse_wall_time(df: DataFrame, text: str, out: str, day_text: str | None = N
     known = word.isNull() | F.col("__offset").isNotNull() | F.col("__zone").isNotNull()
     s = F.col("__s")
     epoch = F.when(s.rlike(r"^\d{10}$"), s.cast("bigint") * 1_000_000).when(s.rlike(r"^\d{13}$"), s.cast("bigint") * 1_000)
-    day = F.when(dated, F.col("__day")).otherwise(F.col("__other_day")) if day_text else F.col("__day")
     parsed = F.struct(
-        F.when(known, day).alias("day"),
+        F.when(known, F.col("__day")).alias("day"),
         F.when(known, time_us).alias("time_us"),
         F.col("__offset").alias("offset_min"),
         F.col("__zone").alias("zone"),
@@ -212,17 +211,13 @@ def publication_instants(messages: DataFrame, posts: DataFrame, articles: DataFr
     def local_day(at: str) -> Column:
         return F.date_from_unix_date(F.floor(F.unix_micros(F.from_utc_timestamp(F.try_to_timestamp(F.col(at)), F.coalesce(F.col("__home"), F.lit("UTC")))) / DAY_US).cast("int"))
 
-    m = messages.select(F.lit("messages").alias("tbl"), F.concat("channel", F.lit(":"), F.col("id").cast("string")).alias("row_key"), F.col("channel").alias("__key"), F.col("date").alias("written"))
-    m = parse_wall_time(m, "written", "__parsed").join(home, F.col("__key") == F.col("__feed"), "left")
-    p = posts.select(F.lit("posts").alias("tbl"), F.col("post_id").alias("row_key"), F.lit(forum).alias("__key"), F.col("published_at").alias("written"), "collected_at")
-    p = p.join(home, F.col("__key") == F.col("__feed"), "left").withColumn("__base", local_day("collected_at"))
-    p = parse_wall_time(p, "written", "__parsed", base_day="__base").drop("collected_at", "__base")
-    a = articles.select(F.lit("articles").alias("tbl"), F.col("article_id").cast("string").alias("row_key"), F.col("source_label").alias("__key"), F.col("date_time").alias("written"), "date_label", "time_label", "fetched_at")
-    a = a.join(home, F.col("__key") == F.col("__feed"), "left").withColumn("__base", local_day("fetched_at")).withColumn("__day_text", F.coalesce("written", "date_label"))
-    a = parse_wall_time(parse_wall_time(a, "written", "__own", base_day="__base"), "time_label", "__label", day_text="__day_text", base_day="__base")
-    only_day = F.col("written").isNull() | F.col("__own")["bare_day"]
-    a = a.withColumn("__parsed", F.when(only_day, F.col("__label")).otherwise(F.col("__own"))).drop("date_label", "time_label", "fetched_at", "__base", "__day_text", "__own", "__label")
-    rows = m.unionByName(p).unionByName(a)
+    m = messages.select(F.lit("messages").alias("tbl"), F.concat("channel", F.lit(":"), F.col("id").cast("string")).alias("row_key"), F.col("channel").alias("__key"), F.col("date").alias("written"), F.col("date").alias("__text"), F.lit(None).cast("string").alias("__at"))
+    p = posts.select(F.lit("posts").alias("tbl"), F.col("post_id").alias("row_key"), F.lit(forum).alias("__key"), F.col("published_at").alias("written"), F.col("published_at").alias("__text"), F.col("collected_at").alias("__at"))
+    day, label = F.coalesce("date_time", "date_label"), F.coalesce("time_label", F.lit(""))
+    whole = F.when(F.col("date_time").isNull() | F.lower(F.trim("date_time")).rlike(_BARE_DAY), F.concat(F.trim(day), F.lit(" "), F.trim(label))).otherwise(F.col("date_time"))
+    a = articles.select(F.lit("articles").alias("tbl"), F.col("article_id").cast("string").alias("row_key"), F.col("source_label").alias("__key"), F.col("date_time").alias("written"), whole.alias("__text"), F.col("fetched_at").alias("__at"))
+    rows = m.unionByName(p).unionByName(a).join(home, F.col("__key") == F.col("__feed"), "left").withColumn("__base", local_day("__at"))
+    rows = parse_wall_time(rows, "__text", "__parsed", base_day="__base")
     return resolve_utc(rows, spans, "__parsed", "__home").select("tbl", "row_key", "written", "utc_us", "utc_us_status")
 
 
