@@ -25,11 +25,11 @@ LANGUAGES = ("de", "en", "es", "fr", "kk", "ru", "tr", "uk")
 LONG_CODES = {"deu": "de", "ger": "de", "german": "de", "eng": "en", "english": "en", "spa": "es", "spanish": "es", "fra": "fr", "fre": "fr", "french": "fr", "kaz": "kk", "kazakh": "kk", "rus": "ru", "russian": "ru", "tur": "tr", "turkish": "tr", "ukr": "uk", "ukrainian": "uk"}
 NO_LANGUAGE = ("", "-", "und", "unknown", "n/a", "na", "none", "null", "?", "mul", "xx", "zxx")
 
-#: Labelled rows fitted on, at most so many for each language; words of an example; share held out for the temperature.
+#: Labelled rows fitted on, at most so many for each language; words of an example, spread over its text; share held out for the temperature.
 SAMPLE_PER_LANGUAGE, EXAMPLE_WORDS, HELD_OUT = 800, 30, 0.2
 NGRAMS = (1, 2, 3, 4)
 #: Cost of a change of language within and after a sentence, and the words a passage has at least.
-SWITCH, SWITCH_AT_SENTENCE, PASSAGE_WORDS = 7.0, 4.0, 6
+SWITCH, SWITCH_AT_SENTENCE, PASSAGE_WORDS = 4.5, 2.5, 6
 _WORD = re.compile(r"[^\W_]+")
 _WORD_AND_GAP = re.compile(r"([^\W_]+)([\W_]*)")
 _SENTENCE_END = re.compile(r"[.!?…)][\"»”)]*\s|\n")
@@ -99,9 +99,15 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def _features(text: str, words: int) -> Counter:
+def spread_words(text: str, most: int = EXAMPLE_WORDS) -> list[str]:
+    """At most ``most`` telling words, evenly spread over the whole text."""
+    w = [w for w in text_words(text) if telling(w)]
+    return w if len(w) <= most else [w[i * len(w) // most] for i in range(most)]
+
+
+def _features(text: str) -> Counter:
     c: Counter = Counter()
-    for w in [w for w in text_words(text) if telling(w)][:words]:
+    for w in spread_words(text):
         c.update(ngrams(w))
     return c
 
@@ -133,7 +139,7 @@ def _ftrl(rows, labels, idf, classes, epochs=2, alpha=0.3, beta=1.0, l1=0.02, l2
 
 def fit(examples: list[tuple[str, str]]) -> Model:
     """A model from (text, language) pairs; see the module's head. Without examples every language is as likely."""
-    found = [(_features(t, EXAMPLE_WORDS), LANGUAGES.index(y)) for t, y in examples]
+    found = [(_features(t), LANGUAGES.index(y)) for t, y in examples]
     found = [(c, y) for c, y in found if c]
     df = Counter(g for c, _ in found for g in c)
     grams = sorted(g for g, k in df.items() if k >= 3)
@@ -195,7 +201,12 @@ def labelled_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
         return []
     part = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, 1.1 * per_language / n))])
     place = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    picked = rows.where(place < part[F.col("code")]).select(F.substring("text", 1, 600).alias("text"), "code", place.alias("place")).collect()
+
+    def shorten(batches):
+        for b in batches:
+            yield pa.record_batch({"text": pa.array([" ".join(spread_words(t)) for t in b.column("text").to_pylist()], pa.string()), "code": b.column("code"), "place": b.column("place")})
+
+    picked = rows.where(place < part[F.col("code")]).select("text", "code", place.alias("place")).mapInArrow(shorten, "text string, code string, place double").collect()
     out = []
     for code in sorted(counts):
         out += sorted((r["place"], r["text"], code) for r in picked if r["code"] == code)[:per_language]
@@ -251,7 +262,7 @@ def _identify(batches, model: Model, switch: float, at_sentence: float, least: i
             table = np.array([model.word(w) for w in ids]) if ids else np.zeros((0, k + 1))
             per = table[number]
             # a word's evidence: its part of the score of a passage of twice the least length
-            evidence = per[:, :k] / np.sqrt(2 * least * 24) / model.temperature
+            evidence = per[:, :k] / np.sqrt(2 * least * 24)
             ends: dict[str, bool] = {}
             closed = np.fromiter((ends[g] if g in ends else ends.setdefault(g, bool(_SENTENCE_END.search(g))) for x in pairs for _, g in x), bool, len(number))
             cost = np.where(np.r_[False, closed[:-1]] if len(closed) else closed, at_sentence, switch)

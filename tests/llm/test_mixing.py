@@ -35,7 +35,12 @@ def test_shares(tables, budget):
         assert abs(used["big"] * 0.45 - used["small"] * 0.5) <= 120
     assert [r["finish"] for r in got] == sorted(r["finish"] for r in got)
     assert got == mix.collect()
-    # against a plain queue
+    # finish times are running sums over the share, also across repeats
+    for s, share in (("big", 0.5), ("small", 0.45)):
+        total_s, mine = 0, [r for r in got if r["source"] == s]
+        for r in mine:
+            total_s += r["tokens"]
+            assert r["finish"] == pytest.approx(total_s / share)
     report = {r["source"]: r for r in mix_report(mix, sizes, targets).collect()}
     assert report["big"]["tokens"] == used["big"] and report["missing"]["uses"] == 0
 
