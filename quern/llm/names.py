@@ -10,14 +10,13 @@ says) less the cost of the rewriting, and a tie between organisations links to n
 from __future__ import annotations
 
 import functools
-import math
 import re
 from collections.abc import Iterator
 from itertools import combinations, permutations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.scale import checked_broadcast, materialize
@@ -54,12 +53,16 @@ def plain(name: str) -> str:
 
 def fold(word: str) -> str:
     """A lower-case word in one script, without soft signs and doubled letters."""
+    return squeeze(script(word))
+
+
+def script(word: str) -> str:
+    """A lower-case word in one script, without soft signs."""
     if _LATIN.search(word):
         if _CYRILLIC.search(word):
             word = "".join(LOOKALIKES.get(c, c) for c in word)
         word = _TRANSLIT_RX.sub(lambda m: _TRANSLIT[m[0]], word)
-    word = word.translate(_SAME)
-    return "".join(c for i, c in enumerate(word) if not i or word[i - 1] != c)
+    return word.translate(_SAME)
 
 
 def squeeze(text: str) -> str:
@@ -107,7 +110,8 @@ def _stems(word: str) -> list[tuple[str, float]]:
     n = len(word)
     out = [(word[:k], 1.0) for k in range(1 if n < 9 else 3, min(n, 6))]
     out += [(word[:k] + word[-j:], 1.0) for k in (1, 2, 3) for j in (1, 2) if n > k + j + 1]
-    out.append((re.sub("[аеиоуюя]", "", word), 1.0))
+    consonants = re.sub("[аеиоуюя]", "", word)
+    out += [(consonants, 1.0), (consonants[:3], 1.0)]
     return [(squeeze(w), c) for w, c in out if len(w) >= 2]
 
 
@@ -115,8 +119,9 @@ def register_forms(core: list[str], head: int) -> dict[str, tuple[float, bool]]:
     """form -> (cost, may have typing errors) of a registered name given as folded words without legal forms.
 
     ``head`` is the word that tells it from others. Abbreviations, blends and diminutives are formed around it or, at a
-    higher cost, around any other long word.
+    higher cost, around any other long word. Doubled letters count once, but forms for typing errors are also given with them.
     """
+    raw, core = core, [squeeze(w) for w in core]
     out: dict[str, tuple[float, bool]] = {}
 
     def put(parts, cost, editable=False):
@@ -124,8 +129,11 @@ def register_forms(core: list[str], head: int) -> dict[str, tuple[float, bool]]:
         if len(form) >= 5 and (form not in out or cost < out[form][0]):
             out[form] = cost, editable or (form in out and out[form][1])
 
-    for order in permutations(core) if len(core) <= 4 else [tuple(core)]:
-        put(order, 0.0 if list(order) == core else 0.5, True)
+    for order in permutations(raw) if len(raw) <= 4 else [tuple(raw)]:
+        cost = 0.0 if list(order) == raw else 0.5
+        put(order, cost, True)
+        if len(form := "".join(order)) >= 5:
+            out.setdefault(form, (cost, True))
     for i, w in enumerate(core):
         for end in CASE_ENDINGS:
             for cut in (0, 1):
@@ -191,7 +199,7 @@ class Register:
                 if not name:
                     continue
                 self.listed.setdefault(issuer, set()).add(plain(name))
-                core = tuple(fold(w) for w in _WORD.findall(name.lower().replace("ё", "е")) if w not in LEGAL)
+                core = tuple(script(w) for w in _WORD.findall(name.lower().replace("ё", "е")) if w not in LEGAL)
                 if core and not (len(core) == 1 and name.isupper() and len(name) <= 6):
                     cores.setdefault(issuer, set()).add(core)
         owners: dict[str, set[str]] = {}
@@ -199,31 +207,42 @@ class Register:
             for w in {w for core in names for w in core}:
                 owners.setdefault(w, set()).add(issuer)
         rank = lambda w: (len(owners[w]), -len(w))
-        self.forms: dict[str, dict[str, tuple[float, bool]]] = {}
-        for issuer, names in cores.items():
-            for core in names:
-                head = min(range(len(core)), key=lambda i: rank(core[i]))  # noqa: B023
-                for form, (cost, editable) in register_forms(list(core), head).items():
-                    have = self.forms.setdefault(form, {})
-                    if issuer not in have or cost < have[issuer][0]:
-                        have[issuer] = cost, editable or (issuer in have and have[issuer][1])
-        words = {w for names in cores.values() for core in names for w in core}
+        self.cores = sorted((issuer, list(core), min(range(len(core)), key=lambda i: rank(core[i]))) for issuer, names in cores.items() for core in names)  # noqa: B023
+        words = {squeeze(w) for names in cores.values() for core in names for w in core}
         self.known = frozenset(w[i : i + 4] for w in words for i in range(len(w) - 3))
-        heads = {min(core, key=rank) for names in cores.values() for core in names}
+        heads = {squeeze(min(core, key=rank)) for names in cores.values() for core in names}
         self.main = frozenset(w[i : i + 4] for w in heads for i in range(len(w) - 3))
         self.beginnings = frozenset(w[:k] for w in heads for k in range(1, len(w)))
         self.heads = frozenset(heads)
         self.near = frozenset(k for w in words for k in word_keys(w))
         self.parts = frozenset(x for w in words for x, _ in _stems(w))
 
-    def rows(self) -> Iterator[tuple[int, str, str, float, float]]:
-        """(key, form, issuer, cost, rarity) for the join; keys of editable forms include those with letters left out."""
-        total = max(1, len(self.listed))
-        for form, owners in self.forms.items():
-            rarity = math.log(total / len(owners)) + 1
-            for issuer, (cost, editable) in owners.items():
-                for key in set(deletions(form)) if editable else (form,):
-                    yield key_of(key), form, issuer, cost, rarity
+    def forms(self, spark: SparkSession) -> DataFrame:
+        """(key, registered, issuer, cost, rarity): the keys of all forms; those of editable forms include them with letters left out."""
+        names = spark.createDataFrame(self.cores, "issuer string, core array<string>, head int").repartition(spark.sparkContext.defaultParallelism)
+
+        def rewrite(batches):
+            for b in batches:
+                rows = [(f, i, c, e) for i, core, h in zip(*(b.column(c).to_pylist() for c in ("issuer", "core", "head"))) for f, (c, e) in register_forms(core, h).items()]
+                yield _batch(rows, _FORM)
+
+        def keys(batches):
+            for b in batches:
+                cells = zip(*(b.column(c).to_pylist() for c in ("registered", "issuer", "cost", "editable", "rarity")))
+                yield _batch([(key_of(k), f, i, c, r) for f, i, c, e, r in cells for k in (set(deletions(f)) if e else (f,))], _KEYED)
+
+        forms = names.mapInArrow(rewrite, "registered string, issuer string, cost double, editable boolean").groupBy("registered", "issuer").agg(F.min("cost").alias("cost"), F.max("editable").alias("editable"))
+        owners = F.count(F.lit(1)).over(Window.partitionBy("registered"))
+        forms = forms.withColumn("rarity", F.log(F.lit(float(max(1, len(self.listed)))) / owners) + 1)
+        return forms.mapInArrow(keys, "key bigint, registered string, issuer string, cost double, rarity double")
+
+
+_FORM = pa.schema([("registered", pa.string()), ("issuer", pa.string()), ("cost", pa.float64()), ("editable", pa.bool_())])
+_KEYED = pa.schema([("key", pa.int64()), ("registered", pa.string()), ("issuer", pa.string()), ("cost", pa.float64()), ("rarity", pa.float64())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)
 
 
 def key_of(form: str) -> int:
@@ -234,21 +253,18 @@ def key_of(form: str) -> int:
 def _explode_forms(batches, known: frozenset[str]):
     """name -> (name, form, key): keys of the folded name without legal forms, whole and with letters left out."""
     schema = pa.schema([("name", pa.string()), ("form", pa.string()), ("key", pa.int64())])
-
-    def batch(out):
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * 3, schema)], schema=schema)
-
     for b in batches:
         out = []
         for name in b.column("name").to_pylist():
             w = [x for x in name_words(name, known) if x not in LEGAL]
-            form = squeeze("".join(fold(x) for x in w))
-            if 5 <= len(form) <= 60:
-                out += [(name, form, key_of(key)) for key in set(deletions(form))]
+            raw = "".join(script(x) for x in w)
+            for form in {raw, squeeze(raw)}:
+                if 5 <= len(form) <= 60:
+                    out += [(name, form, key_of(key)) for key in set(deletions(form))]
             if len(out) > 20_000:
-                yield batch(out)
+                yield _batch(out, schema)
                 out = []
-        yield batch(out)
+        yield _batch(out, schema)
 
 
 def _distances(batches):
@@ -264,8 +280,7 @@ def link_names(names: DataFrame, register: Register) -> DataFrame:
     organisations reach with the same score, link to none.
     """
     spark = names.sparkSession
-    columns = dict(zip(("key", "registered", "issuer", "cost", "rarity"), map(list, zip(*register.rows()))))
-    forms = spark.createDataFrame(pa.table(columns)) if columns else spark.createDataFrame([], "key bigint, registered string, issuer string, cost double, rarity double")
+    forms = materialize(register.forms(spark), "forms")
     # the names are few bytes but each is hundreds of keys: spread by number, which adaptive execution leaves alone
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     exploded = names.where("name is not null").select("name").distinct().repartition(parts, "name").mapInArrow(functools.partial(_explode_forms, known=register.known), "name string, form string, key bigint")
