@@ -40,9 +40,11 @@ def salted_aggregate(
     """One row per non-null value of ``key``: n (rows), the named sums, minima, maxima and distinct counts, exact.
 
     Nulls are skipped as in SQL: a sum, minimum or maximum over none is null, a distinct count 0. Repeated rows count each time.
-    An empty input gives an empty result. Other columns may have any names; only ``key`` and the given expressions are read.
+    An empty input gives an empty result. Other columns may have any names; only ``key`` and the given expressions are read. No result may have the key's name.
     """
     sums, minima, maxima, distinct = sums or {}, minima or {}, maxima or {}, distinct or {}
+    if key in {"n", *sums, *minima, *maxima, *distinct}:
+        raise ValueError(f"a result can't have the name of the key: {key}")
     heavy = heavy_keys(df, key, share)
     hot = F.col("__key").isin(heavy) if heavy else F.lit(False)
     base = df.where(F.col(key).isNotNull()).select(

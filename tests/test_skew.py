@@ -24,3 +24,10 @@ def test_shares_and_empty(spark):
     assert [tuple(r) for r in frequent_keys(df, "k", 0.04).collect()] == [("a", 4)]
     assert frequent_keys(df.limit(0), "k", 0.04).count() == 0
     assert salted_aggregate(df.limit(0), "k").count() == 0
+
+
+def test_result_named_as_the_key(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        salted_aggregate(spark.createDataFrame([("a",)], "n string"), "n")
