@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import ml as L
+from quern.operators import mle as E
 from quern.operators import stats as S
 from quern.operators.windows import year_folds
 from quern.sources.tables import table
@@ -142,7 +143,30 @@ def class_balancing(spark, d):
     return L.balance_by_mixing(v, "vec_id", "embedding", "label", low=-1.0).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-_NAMES = "market_model_car caar_by_event_day ols_simple ols_robust ols_cluster diagnostics cooks_distance durbin_watson logit_urgent bootstrap_mean auc_ranksum confusion_metrics threshold_tuning neutral_zone label_weights macro_scores temporal_scaling class_balancing"
+def tobit_price(spark, d):
+    """Prices above 100 on balance, censored from below."""
+    o = _orders(spark, d).withColumn("over", F.greatest(F.col("price") - 100, F.lit(0.0)) / 100)
+    t = E.tobit(o, "over", ["balance"])
+    return _table(spark, zip(t.names, t.theta, t.se), "term", "estimate", "se")
+
+
+def biprobit_flags(spark, d):
+    """Urgency and a high price as two probits with correlated errors."""
+    o = _orders(spark, d).withColumn("high", (F.col("price") > 150).cast("double")).withColumn("year0", F.col("year") - 1998)
+    t = E.biprobit(o, "urgent", "high", ["balance"], ["year0"])
+    return _table(spark, zip(t.names, t.theta, t.se), "term", "estimate", "se")
+
+
+def auc_bootstrap(spark, d):
+    """Interval of the difference of two scores' AUC over paired draws."""
+    e = table(spark, d, "events", "event_id", "event_type", "value")
+    rows = e.select("event_id", (F.col("event_type") == "purchase").cast("int").alias("y"), F.least(F.col("value") / 500, F.lit(1.0)).alias("p"), (F.pmod(F.col("event_id"), F.lit(97)) / 97).alias("q"))
+    b = E.bootstrap_auc(rows, ["p", "q"], "y", ["event_id"], 100)
+    d_ = F.col("p") - F.col("q")
+    return b.agg(F.count(F.lit(1)).alias("draws"), F.percentile("p", F.lit(0.025)).alias("low"), F.percentile("p", F.lit(0.975)).alias("high"), F.percentile(d_, F.lit(0.025)).alias("delta_low"), F.percentile(d_, F.lit(0.975)).alias("delta_high"))
+
+
+_NAMES = "tobit_price biprobit_flags auc_bootstrap market_model_car caar_by_event_day ols_simple ols_robust ols_cluster diagnostics cooks_distance durbin_watson logit_urgent bootstrap_mean auc_ranksum confusion_metrics threshold_tuning neutral_zone label_weights macro_scores temporal_scaling class_balancing"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _MM = """l AS (SELECT l_suppkey AS security, l_shipdate::DATE AS d0, l_extendedprice p FROM lineitem), r AS (SELECT security, d0, avg(p) r FROM l GROUP BY ALL), m AS (SELECT d0, avg(p) rm FROM l GROUP BY d0),
