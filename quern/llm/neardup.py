@@ -103,16 +103,21 @@ def _shingled(batches: Iterator[pa.RecordBatch], run: int, least_words: int) ->
         yield b, out
 
 
+#: Texts counted exactly at a time; of each such chunk only shingles that a quarter of the share holds are carried on.
+CHUNK_TEXTS = 20_000
+
+
 def _count_shingles(batches, run: int, least_words: int, share: float):
-    """Rows (h, c, n) of a task: shingles that at least half the share of its distinct texts hold, and the number n of those texts."""
+    """Rows (h, c, n) of a task: counts of shingles by lossy counting, too low by a quarter of the share at most, and the number n of its distinct texts."""
     seen, parts, n = set(), [], 0
     held = np.empty(0, np.uint32), np.empty(0, np.int64)
 
     def fold(held, parts):
-        u, c = np.unique(np.concatenate([np.repeat(held[0], 1), *parts]), return_counts=True)
-        c = c.astype(np.int64)
-        c[np.searchsorted(u, held[0])] += held[1] - 1
-        return u, c
+        u, c = np.unique(np.concatenate(parts), return_counts=True)
+        often = c >= share / 4 * len(parts)
+        both = np.concatenate([held[0], u[often]])
+        u2, at = np.unique(both, return_inverse=True)
+        return u2, np.bincount(at, np.concatenate([held[1], c[often]]), len(u2)).astype(np.int64)
 
     for _, out in _shingled(batches, run, least_words):
         for x in out:
@@ -120,19 +125,19 @@ def _count_shingles(batches, run: int, least_words: int, share: float):
                 seen.add(x[0])
                 parts.append(x[1])
                 n += 1
-        if len(parts) > 20_000:
+        if len(parts) >= CHUNK_TEXTS:
             held, parts = fold(held, parts), []
     if n:
-        u, c = fold(held, parts)
-        keep = c >= share / 2 * n
+        u, c = fold(held, parts) if parts else held
+        keep = c >= share / 4 * n
         yield pa.record_batch({"h": pa.array(np.r_[-1, u[keep].astype(np.int64)], pa.int64()), "c": pa.array(np.r_[n, c[keep]], pa.int64())})
 
 
 def frequent_shingles(records: DataFrame, run: int, least_words: int, share: float = FREQUENT_SHARE) -> np.ndarray:
     """Sorted shingle hashes that at least ``share`` of all distinct texts hold, and maybe some that half as many hold.
 
-    A shingle of that share is held by half the share or more in tasks that together have half its texts, so what
-    tasks leave out can't hide it. At most 2 * (mean shingles a text) / share values, whatever the size of the corpus.
+    Tasks leave out shingles that less than half the share of their texts hold, and count others too low by a quarter of it at
+    most: a shingle of the full share still comes to half of it in sum. At most 2 * (mean shingles a text) / share values, whatever the size of the corpus.
     """
     counts = records.select("text").mapInArrow(lambda it: _count_shingles(it, run, least_words, share), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
     counts = materialize(counts, "shingles")
