@@ -281,9 +281,10 @@ def link_names(names: DataFrame, register: Register) -> DataFrame:
     """
     spark = names.sparkSession
     forms = materialize(register.forms(spark), "forms")
-    # the names are few bytes but each is hundreds of keys: spread by number, which adaptive execution leaves alone
+    # the names are few bytes but each is hundreds of keys: spread by number, which adaptive execution leaves alone, and by
+    # another expression than distinct() has used, or the exchange is optimised away
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    exploded = names.where("name is not null").select("name").distinct().repartition(parts, "name").mapInArrow(functools.partial(_explode_forms, known=register.known), "name string, form string, key bigint")
+    exploded = names.where("name is not null").select("name").distinct().repartition(parts, F.xxhash64("name")).mapInArrow(functools.partial(_explode_forms, known=register.known), "name string, form string, key bigint")
     hits = exploded.join(checked_broadcast(forms, 2_000_000), "key").groupBy("name", "form", "registered", "issuer").agg(F.min("cost").alias("cost"), F.max("rarity").alias("rarity"))
     hits = hits.mapInArrow(_distances, "name string, form string, registered string, issuer string, cost double, rarity double, edits int")
     allowed = F.when(F.length("registered") < LEAST_ONE, 0).when(F.length("registered") < LEAST_TWO, 1).otherwise(MOST_EDITS)
