@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,14 +90,20 @@ def radius_for(similarity: float, bits: int = BITS, sigmas: float = 3.0) -> int:
     return round(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5)
 
 
-def _shingled(batches: Iterator[pa.RecordBatch], run: int, least_words: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _raw_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=1) - (1 << 63)
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], run: int, least_words: int, short: bool = False) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Class and shingles of each text, None for one too short; with ``short`` such a text has its class too (None for a null text), and no shingles."""
     hasher = WordHasher()
     for b in batches:
         out = []
         for text in b.column("text").to_pylist():
             w = words(text)
             if len(w) < max(least_words, run):
-                out.append(None)
+                # texts without a word are alike only if they are equal
+                out.append((None if text is None else text_hash(hasher(w)) if w else _raw_hash(text), None) if short else None)
                 continue
             h = hasher(w)
             out.append((text_hash(h), np.unique((run_hashes(h, run) >> np.uint64(32)).astype(np.uint32))))
@@ -146,17 +153,19 @@ def frequent_shingles(records: DataFrame, run: int, least_words: int, share: flo
     return np.sort(np.array([r[0] for r in rows], np.int64)).astype(np.uint32)
 
 
-def _describe(batches, run: int, least_words: int):
+def _describe(batches, run: int, least_words: int, short: bool = False):
     """tbl, key, cls, sh: the class of each record and, once a task, its shingles."""
     seen = set()
-    for b, out in _shingled(batches, run, least_words):
+    for b, out in _shingled(batches, run, least_words, short):
         keep = [i for i, x in enumerate(out) if x]
         cls = [out[i][0] for i in keep]
         tbl, sets = b.column("tbl").to_pylist(), []
         for i in keep:
             one = tbl[i], out[i][0]
-            sets.append(None if one in seen else out[i][1].view(np.int32))
-            seen.add(one)
+            new = out[i][1] is not None and one not in seen
+            sets.append(out[i][1].view(np.int32) if new else None)
+            if new:
+                seen.add(one)
         at = pa.array(keep, pa.int64())
         yield pa.record_batch({"tbl": b.column("tbl").take(at), "key": b.column("key").take(at), "cls": pa.array(cls, pa.int64()), "sh": pa.array(sets, pa.list_(pa.int32()))})
 
@@ -297,9 +306,9 @@ def _search_tile(radius: int, limit: int):
     return tile
 
 
-def text_classes(records: DataFrame, run: int = 3, least_words: int = 20) -> DataFrame:
-    """(tbl, key, cls, sh), written once: the class of every record with enough words, its shingles on one row a task."""
-    return materialize(records.select("tbl", "key", "text").mapInArrow(functools.partial(_describe, run=run, least_words=least_words), "tbl string, key string, cls bigint, sh array<int>"), "classes")
+def text_classes(records: DataFrame, run: int = 3, least_words: int = 20, short: bool = False) -> DataFrame:
+    """(tbl, key, cls, sh), written once: the class of every record with enough words (with ``short`` of every record), its shingles on one row a task."""
+    return materialize(records.select("tbl", "key", "text").mapInArrow(functools.partial(_describe, run=run, least_words=least_words, short=short), "tbl string, key string, cls bigint, sh array<int>"), "classes")
 
 
 def similar_classes(
@@ -349,13 +358,14 @@ def near_duplicate_pairs(records: DataFrame, run: int = 3, least_words: int = 20
     return pairs.where("key_a < key_b").select("tbl", "key_a", "key_b", "similarity").distinct()
 
 
-def duplicate_groups(records: DataFrame, run: int = 5, least_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def duplicate_groups(records: DataFrame, run: int = 5, least_words: int = 5, similarity: float = 0.8, short: bool = False) -> DataFrame:
     """(tbl, key, cls, links): one row per record: its class of same-worded texts, and the number of other classes like it.
 
-    Texts too short for a shingle have no class and are left out.
+    Texts too short for a shingle are left out, or with ``short`` have the class of their words (of the text as it is, if it has none) and
+    0 links; a null text then has the class null. Repeated rows of a record count once. Records without a key are left out.
     """
-    records = records.where(F.col("key").isNotNull() & F.col("text").isNotNull())
-    classes = text_classes(records, run, least_words)
+    records = records.where(F.col("key").isNotNull() if short else F.col("key").isNotNull() & F.col("text").isNotNull())
+    classes = text_classes(records, run, least_words, short)
     links = similar_classes(classes, frequent_shingles(records, run, least_words), similarity)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     members = classes.select("tbl", "key", "cls").distinct()

@@ -20,7 +20,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return duplicate_groups(_records(spark, d))
+    return duplicate_groups(_records(spark, d), short=True)
 
 
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}

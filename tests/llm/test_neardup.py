@@ -66,6 +66,29 @@ def test_empty(spark):
     assert near_duplicate_pairs(empty).count() == 0 and duplicate_groups(empty).count() == 0
 
 
+def test_every_record_has_a_group(spark):
+    texts = {"a": "Ну такое", "b": "ну, такое!", "c": "такое ну", "d": "...", "e": "...", "f": "?!", "g": "", "h": None, "i": "раз два три четыре пять шесть", "j": "Раз, два: три четыре пять шесть"}
+    df = spark.createDataFrame([("t", k, x) for k, x in texts.items()] + [("t", "a", texts["a"])], "tbl string, key string, text string").repartition(3)
+    got = duplicate_groups(df, short=True).collect()
+    cls = {r["key"]: r["cls"] for r in got}
+    assert len(got) == len(cls) == len(texts) and {r["links"] for r in got} == {0}
+    assert {k for k in cls if cls[k] is None} == {"h"}
+    groups = {}
+    for k, c in cls.items():
+        groups.setdefault(c, set()).add(k)
+    assert sorted(map(sorted, groups.values())) == [["a", "b"], ["c"], ["d", "e"], ["f"], ["g"], ["h"], ["i", "j"]]
+
+
+def test_the_query_of_groups_has_every_record(spark, tmp_path):
+    from quern.llm.neardup_queries import p3_groups
+
+    spark.createDataFrame([(1, "c", "Ну такое"), (2, "c", "ну такое"), (3, "c", None)], "id bigint, channel string, text string").write.parquet(str(tmp_path / "messages.parquet"))
+    spark.createDataFrame([(7, None), (8, "?")], "article_id bigint, content_text string").write.parquet(str(tmp_path / "articles.parquet"))
+    got = {(r["tbl"], r["key"]): r["cls"] for r in p3_groups(spark, str(tmp_path)).collect()}
+    assert len(got) == 5 and got["messages", "c:1"] == got["messages", "c:2"] != None  # noqa: E711
+    assert got["messages", "c:3"] is None and got["articles", "7"] is None and got["articles", "8"] is not None
+
+
 def test_tree_finds_all_within_the_radius():
     rng = random.Random(3)
     values = [rng.getrandbits(64) for _ in range(300)] + [0, 0]
