@@ -12,8 +12,9 @@ broadcast, which would grow with the corpus, a shard's tree is built by the task
 ``SHARD_ROWS`` classes is cut into tiles of bounded size which meet each other tile in tasks of their own. Every pair found is verified
 exactly on the shingle sets.
 
-Bands are drawn from the shingles that less than ``FREQUENT_SHARE`` of the texts hold; texts made mostly of frequent
-shingles also get bands from all of theirs. For similarity s a pair shares a band with probability 1-(1-s^ROWS)^BANDS.
+Bands are drawn from the shingles that less than ``FREQUENT_SHARE`` of the texts hold, and again from all shingles of a text
+for which those may not do (see :func:`frequent_part_covered`). A pair of similarity s or more shares a band with probability
+1-(1-s^ROWS)^BANDS at least, or ``SURE`` where that is less, however its common shingles are spread over frequent and infrequent ones.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from quern.scale import materialize
 
 ROWS, BANDS = 3, 28
 FREQUENT_SHARE = 0.02
-#: A text gets bands from all its shingles too, if fewer than this part of them are infrequent.
-MOSTLY_FREQUENT = 0.35
+#: A chance of sharing a band of infrequent shingles that makes bands of all shingles needless.
+SURE = 0.999
 #: Most classes of a shard searched in one tree.
 SHARD_ROWS = 4096
 BITS = 64
@@ -94,6 +95,17 @@ def _raw_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=1) - (1 << 63)
 
 
+def frequent_part_covered(similarity: float, rows: int = ROWS, bands: int = BANDS) -> float:
+    """The largest part of frequent shingles with which a text does without bands of all its shingles.
+
+    If common frequent shingles are the part c of a union, a pair of ``similarity`` s has infrequent parts of similarity (s-c)/(1-c) at least,
+    and neither text has a part of frequent ones below c. Where that is t or more, bands of the infrequent shingles find the pair with the
+    chance that s promises (or ``SURE``); where it is less, both texts lie over (s-t)/(1-t) and have bands of all shingles.
+    """
+    t = min(similarity, (1 - (1 - SURE) ** (1 / bands)) ** (1 / rows))
+    return (similarity - t) / (1 - t) if t < 1 else 0.0
+
+
 def _shingled(batches: Iterator[pa.RecordBatch], run: int, least_words: int, short: bool = False) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Class and shingles of each text, None for one too short; with ``short`` such a text has its class too (None for a null text), and no shingles."""
     hasher = WordHasher()
@@ -114,7 +126,7 @@ def _shingled(batches: Iterator[pa.RecordBatch], run: int, least_words: int, sho
 CHUNK_TEXTS = 20_000
 
 
-def _count_shingles(batches, run: int, least_words: int, share: float):
+def _count_shingles(batches, share: float):
     """Rows (h, c, n) of a task: counts of shingles by lossy counting, too low by a quarter of the share at most, and the number n of its distinct texts."""
     seen, parts, n = set(), [], 0
     held = np.empty(0, np.uint32), np.empty(0, np.int64)
@@ -126,11 +138,11 @@ def _count_shingles(batches, run: int, least_words: int, share: float):
         u2, at = np.unique(both, return_inverse=True)
         return u2, np.bincount(at, np.concatenate([held[1], c[often]]), len(u2)).astype(np.int64)
 
-    for _, out in _shingled(batches, run, least_words):
-        for x in out:
-            if x and x[0] not in seen:
-                seen.add(x[0])
-                parts.append(x[1])
+    for b in batches:
+        for cls, sh in zip(b.column("cls").to_pylist(), b.column("sh").to_numpy(zero_copy_only=False)):
+            if cls not in seen:
+                seen.add(cls)
+                parts.append(np.array(sh, np.int32).view(np.uint32))
                 n += 1
         if len(parts) >= CHUNK_TEXTS:
             held, parts = fold(held, parts), []
@@ -140,13 +152,13 @@ def _count_shingles(batches, run: int, least_words: int, share: float):
         yield pa.record_batch({"h": pa.array(np.r_[-1, u[keep].astype(np.int64)], pa.int64()), "c": pa.array(np.r_[n, c[keep]], pa.int64())})
 
 
-def frequent_shingles(records: DataFrame, run: int, least_words: int, share: float = FREQUENT_SHARE) -> np.ndarray:
+def frequent_shingles(classes: DataFrame, share: float = FREQUENT_SHARE) -> np.ndarray:
     """Sorted shingle hashes that at least ``share`` of all distinct texts hold, and maybe some that half as many hold.
 
     Tasks leave out shingles that less than half the share of their texts hold, and count others too low by a quarter of it at
     most: a shingle of the full share still comes to half of it in sum. At most 2 * (mean shingles a text) / share values, whatever the size of the corpus.
     """
-    counts = records.select("text").mapInArrow(lambda it: _count_shingles(it, run, least_words, share), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = classes.where("sh is not null").select("cls", "sh").mapInArrow(lambda it: _count_shingles(it, share), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
     counts = materialize(counts, "shingles")
     total = counts.where("h = -1")
     rows = counts.join(F.broadcast(total.select(F.col("c").alias("n"))), F.col("c") >= F.col("n") * (share / 2)).where("h >= 0").select("h").collect()
@@ -170,8 +182,9 @@ def _describe(batches, run: int, least_words: int, short: bool = False):
         yield pa.record_batch({"tbl": b.column("tbl").take(at), "key": b.column("key").take(at), "cls": pa.array(cls, pa.int64()), "sh": pa.array(sets, pa.list_(pa.int32()))})
 
 
-def _bands(batches, frequent: np.ndarray, rows: int, bands: int):
+def _bands(batches, frequent: np.ndarray, similarity: float, rows: int, bands: int):
     """band, tbl, cls, fp of each class of a batch."""
+    covered = frequent_part_covered(similarity, rows, bands)
     for b in batches:
         sets = [np.asarray(x, np.int32).view(np.uint32) for x in b.column("sh").to_numpy(zero_copy_only=False)]
         if not sets:
@@ -188,7 +201,7 @@ def _bands(batches, frequent: np.ndarray, rows: int, bands: int):
         cuts = np.cumsum(lengths)[:-1]
         rare = [s[m] for s, m in zip(sets, np.split(rare_flat, cuts))]
         part = np.array([len(r) for r in rare]) / lengths
-        for label, pick, source in ((1, np.flatnonzero(part > 0), rare), (2, np.flatnonzero(part < MOSTLY_FREQUENT), sets)):
+        for label, pick, source in ((1, np.flatnonzero(part > 0), rare), (2, np.flatnonzero(1 - part > covered), sets)):
             if not len(pick):
                 continue
             m = minhash([source[i] for i in pick], rows * bands, seed=7)
@@ -319,7 +332,7 @@ def similar_classes(
     radius = radius_for(similarity)
     shingles = classes.where("sh is not null").select("tbl", "cls", "sh")
     known = spark.sparkContext.broadcast(frequent)
-    banded = shingles.mapInArrow(lambda it: _bands(it, known.value, rows, bands), "band bigint, tbl string, cls bigint, fp bigint")
+    banded = shingles.mapInArrow(lambda it: _bands(it, known.value, similarity, rows, bands), "band bigint, tbl string, cls bigint, fp bigint")
     shards = banded.select(F.xxhash64("band", "tbl").alias("band"), "cls", "fp").repartition("band").sortWithinPartitions("band", "cls")
     found = materialize(shards.mapInArrow(lambda it: _search_sorted(it, radius, limit), "kind int, a bigint, b bigint, fp bigint, pos bigint"), "shards")
     pairs = found.where("kind = 0").select("a", "b")
@@ -346,8 +359,8 @@ def near_duplicate_pairs(records: DataFrame, run: int = 3, least_words: int = 20
     Records with the same words are paired too (similarity 1). An empty input gives an empty result.
     """
     records = records.where(F.col("key").isNotNull() & F.col("text").isNotNull())
-    frequent = frequent_shingles(records, run, least_words)
     classes = text_classes(records, run, least_words)
+    frequent = frequent_shingles(classes)
     links = materialize(similar_classes(classes, frequent, similarity, limit=limit), "links")
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     members = classes.select("tbl", "key", "cls").distinct()
@@ -366,7 +379,7 @@ def duplicate_groups(records: DataFrame, run: int = 5, least_words: int = 5, sim
     """
     records = records.where(F.col("key").isNotNull() if short else F.col("key").isNotNull() & F.col("text").isNotNull())
     classes = text_classes(records, run, least_words, short)
-    links = similar_classes(classes, frequent_shingles(records, run, least_words), similarity)
+    links = similar_classes(classes, frequent_shingles(classes), similarity)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     members = classes.select("tbl", "key", "cls").distinct()
     return members.join(degree, "cls", "left").select("tbl", "key", "cls", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))

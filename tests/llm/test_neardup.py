@@ -89,6 +89,25 @@ def test_the_query_of_groups_has_every_record(spark, tmp_path):
     assert got["messages", "c:3"] is None and got["articles", "7"] is None and got["articles", "8"] is not None
 
 
+def test_pairs_alike_by_frequent_shingles_only(spark):
+    """Reposts of one text with own words added, and pairs with own words of which a few are shared."""
+    hot, n = " ".join(f"общее{i}" for i in range(102)), itertools.count()
+    own = lambda k: " ".join(f"своё{next(n)}" for _ in range(k))
+    rows = [("t", f"a{i}", f"{hot} {own(i)}".strip()) for i in range(6)] + [("t", f"b{i}", f"{hot} {own(80)}") for i in range(30)]
+    part = " ".join(hot.split()[:47])
+    for i in range(30):
+        both = own(24)
+        rows += [("t", f"c{i}-{k}", f"{part} {both} {own(31)}") for k in "xy"]
+    rows += [("t", f"d{i}", own(150)) for i in range(100)]
+    df = spark.createDataFrame(rows, "tbl string, key string, text string").repartition(4)
+    got = {(r["tbl"], r["key_a"], r["key_b"]) for r in near_duplicate_pairs(df).collect()}
+    want = brute(rows, 3, 20, 0.5)
+    assert got <= set(want)
+    for kind, least in (("ab", 0.95), ("cc", 0.9)):
+        of = [k for k in want if k[1][0] + k[2][0] == kind]
+        assert len(of) >= 30 and len(got & set(of)) >= least * len(of), (kind, len(of), len(got & set(of)))
+
+
 def test_tree_finds_all_within_the_radius():
     rng = random.Random(3)
     values = [rng.getrandbits(64) for _ in range(300)] + [0, 0]
