@@ -10,6 +10,7 @@ from quern.operators import aggregates as A
 from quern.operators import joins as J
 from quern.operators import upsert as U
 from quern.operators import windows as W
+from quern.plans.training import p1_instants
 from quern.sources.tables import table
 
 
@@ -81,14 +82,24 @@ def three_way_concat(spark, d):
     return j.groupBy("o_orderkey", "o_orderstatus").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("brands"), F.count(F.lit(1)).alias("n"))
 
 
-def thread_inheritance(spark, d):
-    """Replies without own mention take over their parent's issuers."""
+def _inherited(spark, d, instants=None):
     m = table(spark, d, "messages", "id", "channel", "parent_id", "text").dropDuplicates(["id", "channel"])
     key = lambda i: F.concat("channel", F.lit(":"), F.col(i).cast("string"))
-    none = F.lit(None).cast("timestamp")
-    replies = m.select(key("id").alias("k"), key("parent_id").alias("p"), none.alias("at"), is_short_low_info(F.col("text")).alias("short"))
-    own = table(spark, d, "telegram_matches", "source_key", "issuer", "entity_level", "match_origin").where("match_origin = 'explicit'").select(F.col("source_key").alias("k"), none.alias("at"), F.col("entity_level").alias("level"), "issuer").distinct()
-    return J.inherit_from_parent(replies, own, "k", "p", "at", "short").select("k", "anchor", "issuer", "level")
+    replies = m.select(key("id").alias("k"), key("parent_id").alias("p"), is_short_low_info(F.col("text")).alias("short"))
+    own = table(spark, d, "telegram_matches", "source_key", "issuer", "entity_level", "match_origin").where("match_origin = 'explicit'").select(F.col("source_key").alias("k"), F.col("entity_level").alias("level"), "issuer").distinct()
+    dated = lambda rows: rows.join(instants, "k", "left") if instants is not None else rows.withColumn("at", F.lit(None).cast("timestamp"))
+    return J.inherit_from_parent(dated(replies), dated(own), "k", "p", "at", "short").select("k", "anchor", "issuer", "level")
+
+
+def thread_inheritance(spark, d):
+    """Replies without own mention take over their parent's issuers, however far apart in time (as in the SQL)."""
+    return _inherited(spark, d)
+
+
+def thread_inheritance_timed(spark, d):
+    """As before, within 72 hours of the parent; an unknown instant counts as near. Of a message's instants the earliest counts."""
+    at = p1_instants(spark, d).where("tbl = 'messages' and utc_us is not null").groupBy(F.col("row_key").alias("k")).agg(F.timestamp_micros(F.min("utc_us")).alias("at"))
+    return _inherited(spark, d, at)
 
 
 def anti_unmatched(spark, d):
@@ -312,7 +323,7 @@ def quality_report(spark, d):
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"r{i}").alias("n")) for i, k in enumerate(rules)])).alias("x")).select("x.*")
 
 
-_NAMES = """left_join_metadata normalized_key_join rating_asof rating_asof_active next_trading_date key_fallback month_phase three_way_concat thread_inheritance anti_unmatched semi_or_nolink best_prefix_match
+_NAMES = """left_join_metadata normalized_key_join rating_asof rating_asof_active next_trading_date key_fallback month_phase three_way_concat thread_inheritance thread_inheritance_timed anti_unmatched semi_or_nolink best_prefix_match
 reply_pairs upsert_coalesce insert_ignore replace_by_key keyed_update earliest_merge newest_messages profile_numeric category_topn crosstab agreement_rate char_budget having_multi global_stats corr_pairs winsorize
 iqr_cap rare_collapse demean_within_year topk_per_group running_total ecdf z_scores expanding_folds rolling_folds status_runs set_difference seeded_sample stratified_split greedy_batches leap_and_era cross_rate json_props
 reaction_counts quality_report"""
