@@ -30,13 +30,16 @@ def vocabulary(texts: DataFrame, text: str, size: int = 1500) -> DataFrame:
     return top.withColumn("index", F.row_number().over(Window.orderBy(F.desc("n"), "term")) + 1)
 
 
-def index_sequences(texts: DataFrame, key: str, text: str, vocab: DataFrame, length: int) -> DataFrame:
-    """(key, seq): the first ``length`` terms of each text as indices of the vocabulary, padded with 0."""
-    rows = texts.select(F.col(key), F.posexplode_outer(F.slice(tokens(F.lower(text)), 1, length)).alias("pos", "term"))
+def index_sequences(texts: DataFrame, key: str, text: str, vocab: DataFrame, length: int | None = None) -> DataFrame:
+    """(key, seq): the terms of each text as indices of the vocabulary, padded with 0 to the longest text, or cut and padded to ``length``."""
+    terms = tokens(F.lower(text))
+    rows = texts.select(F.col(key), F.posexplode_outer(terms if length is None else F.slice(terms, 1, length)).alias("pos", "term"))
     coded = rows.join(checked_broadcast(vocab.select("term", "index")), "term", "left")
     seq = coded.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("pos", F.coalesce("index", F.lit(1)).alias("i"))))).alias("__s"))
     ids = F.transform("__s", lambda x: x["i"])
-    return seq.select(key, F.concat(ids, F.array_repeat(F.lit(0), F.lit(length) - F.size("__s"))).alias("seq"))
+    longest = texts.agg(F.coalesce(F.max(F.when(F.col(text).isNotNull(), F.size(terms))), F.lit(0)).alias("__n")) if length is None else None
+    seq = seq.withColumn("__n", F.lit(length)) if longest is None else seq.crossJoin(F.broadcast(longest))
+    return seq.select(key, F.concat(ids, F.array_repeat(F.lit(0), F.col("__n") - F.size("__s"))).alias("seq"))
 
 
 def cosine(a: Column, b: Column) -> Column:

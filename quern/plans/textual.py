@@ -96,8 +96,9 @@ def token_vocabulary(spark, d):
 
 
 def index_sequences(spark, d):
+    """Whole texts of the eval items over the vocabulary of 1,500 terms, padded to the longest."""
     e = table(spark, d, "eval_items", "item_id", "text")
-    s = X.index_sequences(e, "item_id", "text", X.vocabulary(e, "text", 200), 16)
+    s = X.index_sequences(e, "item_id", "text", X.vocabulary(e, "text"))
     return s.select("item_id", F.array_join("seq", ",").alias("seq"))
 
 

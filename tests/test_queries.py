@@ -23,3 +23,21 @@ def test_inheritance_within_72_hours(spark, tmp_path):
     )
     assert {(r["k"], r["anchor"]) for r in R.thread_inheritance_timed(spark, d).collect()} == {("c:2", "c:1"), ("c:6", "c:1"), ("c:7", "c:4")}
     assert {r["k"] for r in R.thread_inheritance(spark, d).collect()} == {"c:2", "c:3", "c:5", "c:6", "c:7"}
+
+
+def test_sequences_of_whole_texts(spark, tmp_path):
+    Q = importlib.import_module("quern.plans.textual")
+    long = [f"w{i}" for i in range(300)]
+    d = write(spark, tmp_path, eval_items=([(1, " ".join(long)), (2, "w0 w0 w1"), (3, None), (4, "")], "item_id bigint, text string"))
+    got = {r["item_id"]: r["seq"].split(",") for r in Q.index_sequences(spark, d).collect()}
+    assert {len(v) for v in got.values()} == {300}
+    assert "1" not in got[1] and len(set(got[1])) == 300 and got[2][:4] == ["2", "2", "3", "0"] and set(got[3] + got[4]) == {"0"}
+
+
+def test_sequences_of_a_given_length_and_none(spark):
+    from quern.operators import vectors as X
+
+    df = spark.createDataFrame([(1, "b a b c"), (2, "b")], "k int, t string")
+    vocab = X.vocabulary(df, "t", 1)
+    assert {r["k"]: r["seq"] for r in X.index_sequences(df, "k", "t", vocab, 3).collect()} == {1: [2, 1, 2], 2: [2, 0, 0]}
+    assert X.index_sequences(df.limit(0), "k", "t", vocab).count() == 0
