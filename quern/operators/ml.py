@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.scale import checked_broadcast
+from quern.scale import checked_broadcast, materialize
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -113,28 +113,61 @@ def kmeans_elbow(df: DataFrame, features: list[str], most: int = 5, seed: int =
     return [(k, KMeans(k=k, seed=seed).fit(x).summary.trainingCost) for k in range(2, most + 1)]
 
 
-def balance_by_mixing(df: DataFrame, key: str, vector: str, label: str, share: float = 0.9, low: float = 0.65, high: float = 0.99, seed: int = 1) -> DataFrame:
+def _similar_pairs(pdf, low: float, high: float):
+    """Rows of two blocks (side 0, and 1 unless it is one block with itself), unit vectors as they are, and the index pairs with a similarity in [low, high)."""
+    import numpy as np
+
+    pdf = pdf.sort_values(["side", "k"], kind="stable")
+    v = np.array(pdf["v"].tolist(), float)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    unit = np.divide(v, norm, out=np.full_like(v, np.nan), where=norm > 0)
+    first = int((pdf["side"] == 0).sum())
+    one = bool(pdf["x"].iloc[0] == pdf["y"].iloc[0])
+    sim = unit[:first] @ (unit[:first] if one else unit[first:]).T
+    good = (sim >= low) & (sim < high)
+    i, j = np.nonzero(np.triu(good, 1) if one else good)
+    return pdf["k"].tolist(), v, i, j if one else j + first
+
+
+def balance_by_mixing(df: DataFrame, key: str, vector: str, label: str, share: float = 0.9, low: float = 0.65, high: float = 0.99, seed: int = 1, block: int = 1024) -> DataFrame:
     """(label, a, b, alpha, vector): mixtures of similar rows of the smaller classes, as many as bring each to ``share`` of the largest.
 
-    Partners are the 20 nearest of the class by similarity in [low, high); which pairs are used, and alpha in [0.35, 0.65), come from hashes.
-    Vectors of a mixture are scaled to sum one.
+    Each mixture draws one of all pairs of its class with a similarity in [low, high), with replacement, and alpha in [0.35, 0.65), by hashes. Only
+    a class without such a pair gets none. All pairs of a class are compared, block by block of about ``block`` rows in tasks of their own: once to
+    count, and again where drawn; work grows as the square of a class. Vectors of a mixture are scaled to sum one; null keys and vectors are in no pair.
     """
-    from quern.operators.vectors import cosine
+    import pandas as pd
 
     n = df.groupBy(F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("n")).withColumn("need", (F.max("n").over(Window.partitionBy()) * share - F.col("n")).cast("int"))
-    small = df.join(F.broadcast(n.where("need > 0")), F.col(label) == F.col("__l"))
-    order = F.xxhash64(F.lit(seed), key)
-    ring = small.withColumn("__p", F.row_number().over(Window.partitionBy(label).orderBy(order)))
-    a = ring.select(label, F.col(key).alias("a"), F.col(vector).alias("va"), F.col("__p"), "need", "n")
-    a = a.withColumn("__q", F.explode(F.sequence(F.col("__p") + 1, F.col("__p") + 20)))
-    b = ring.select(F.col(label).alias("__bl"), F.col(key).alias("b"), F.col(vector).alias("vb"), F.col("__p").alias("__bp"))
-    pairs = a.join(b, (F.col(label) == F.col("__bl")) & (F.col("__q") == F.col("__bp"))).withColumn("sim", cosine(F.col("va"), F.col("vb"))).where((F.col("sim") >= low) & (F.col("sim") < high))
-    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), "a", "b")))).where(F.col("place") <= F.col("need"))
-    alpha = 0.35 + 0.3 * F.pmod(F.xxhash64(F.lit(seed + 1), "a", "b"), F.lit(1_000_003)) / 1_000_003.0
-    pairs = pairs.withColumn("alpha", alpha)
-    mix = F.zip_with("va", "vb", lambda x, y: F.col("alpha") * x + (1 - F.col("alpha")) * y)
-    total = F.aggregate(mix, F.lit(0.0), lambda s, v: s + F.abs(v))
-    return pairs.select(label, "a", "b", "alpha", F.transform(mix, lambda v: F.try_divide(v, total)).alias("vector"))
+    small = n.where("need > 0").withColumn("blocks", F.ceil(F.col("n") / block))
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).join(F.broadcast(small), F.col(label) == F.col("__l"))
+    rows = rows.select("__l", F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(F.lit(seed), key), F.col("blocks")).alias("at"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("__l", "k", "v", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"), (F.col("at") > F.col("other")).cast("int").alias("side"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    tile = ["__l", "x", "y"]
+
+    def count(keys, pdf):
+        return pd.DataFrame([(*keys, len(_similar_pairs(pdf, low, high)[2]))], columns=[*tile, "c"])
+
+    def mix(keys, pdf, draws):
+        if not len(draws) or not len(pdf):
+            return pd.DataFrame(columns=["__l", "a", "b", "alpha", "va", "vb"])
+        k, v, i, j = _similar_pairs(pdf, low, high)
+        draws = draws.sort_values("draw")
+        i, j = i[draws["place"]], j[draws["place"]]
+        return pd.DataFrame({"__l": [keys[0]] * len(i), "a": [k[p] for p in i], "b": [k[p] for p in j], "alpha": draws["alpha"].to_numpy(), "va": list(v[i]), "vb": list(v[j])})
+
+    counts = materialize(rows.groupBy(*tile).applyInPandas(count, f"__l {types['__l']}, x bigint, y bigint, c bigint"), "tiles").where("c > 0")
+    upto = F.sum("c").over(Window.partitionBy("__l").orderBy("x", "y"))
+    counts = counts.withColumn("from", upto - F.col("c")).withColumn("all", F.sum("c").over(Window.partitionBy("__l")))
+    totals = counts.groupBy("__l").agg(F.first("all").alias("all")).join(small.select("__l", "need"), "__l")
+    draws = totals.select("__l", "all", F.explode(F.sequence(F.lit(1), F.col("need"))).alias("draw"))
+    draws = draws.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "__l", "draw"), F.col("all"))).withColumn("alpha", 0.35 + 0.3 * F.pmod(F.xxhash64(F.lit(seed + 1), "__l", "draw"), F.lit(1_000_003)) / 1_000_003.0)
+    draws = draws.drop("all").join(counts, "__l").where("place >= from and place < from + c").select(*tile, "draw", (F.col("place") - F.col("from")).alias("place"), "alpha")
+    pairs = rows.groupBy(*tile).cogroup(draws.groupBy(*tile)).applyInPandas(mix, f"__l {types['__l']}, a {types['k']}, b {types['k']}, alpha double, va array<double>, vb array<double>")
+    mixed = F.zip_with("va", "vb", lambda x, y: F.col("alpha") * x + (1 - F.col("alpha")) * y)
+    total = F.aggregate(mixed, F.lit(0.0), lambda s, v: s + F.abs(v))
+    return pairs.select(F.col("__l").alias(label), "a", "b", "alpha", F.transform(mixed, lambda v: F.try_divide(v, total)).alias("vector"))
 
 
 def model_scores(df: DataFrame, features: list[str], label: str, year: str, test_year: int, seed: int = 1) -> list[tuple[str, float]]:

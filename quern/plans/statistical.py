@@ -139,8 +139,9 @@ def temporal_scaling(spark, d):
 
 
 def class_balancing(spark, d):
+    """Mixtures made by class; none where a class has no pair of a similarity in [0.65, 0.99)."""
     v = table(spark, d, "embeddings", "vec_id", "embedding", "label").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    return L.balance_by_mixing(v, "vec_id", "embedding", "label", low=-1.0).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return L.balance_by_mixing(v, "vec_id", "embedding", "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tobit_price(spark, d):
