@@ -81,7 +81,8 @@ def issuer_rows_suppressed(spark, d):
 
 
 def alias_mining(spark, d):
-    out = M.mine_aliases(table(spark, d, "documents", "source", "text"), "source", "text", 1, 2)
+    """Grams of one to three words by source, over whole texts (no windows around listed names)."""
+    out = M.mine_aliases(table(spark, d, "documents", "source", "text"), "source", "text")
     return out.select("source", "gram", "docs_in", "docs_out", F.round("score", 6).alias("score"))
 
 

@@ -41,3 +41,11 @@ def test_sequences_of_a_given_length_and_none(spark):
     vocab = X.vocabulary(df, "t", 1)
     assert {r["k"]: r["seq"] for r in X.index_sequences(df, "k", "t", vocab, 3).collect()} == {1: [2, 1, 2], 2: [2, 0, 0]}
     assert X.index_sequences(df.limit(0), "k", "t", vocab).count() == 0
+
+
+def test_mined_aliases_of_three_words(spark, tmp_path):
+    Q = importlib.import_module("quern.plans.textual")
+    rows = [("a", f"белый медведь арктики строка{i}") for i in range(5)] + [("b", f"иной текст {i}") for i in range(5)]
+    d = write(spark, tmp_path, documents=(rows, "source string, text string"))
+    grams = {r["gram"] for r in Q.alias_mining(spark, d).collect() if r["source"] == "a"}
+    assert {"медведь", "белый медведь", "белый медведь арктики"} <= grams
