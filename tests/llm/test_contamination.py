@@ -53,3 +53,34 @@ def test_passage_and_seeds():
     other[2] = np.uint64(5)
     assert seeds(h, "11011")[0] == seeds(other, "11011")[0] and seeds(h, "1111")[0] != seeds(other, "1111")[0]
     assert len(seeds(h[:3], "1111")) == 0
+
+
+def test_every_place_of_edits(spark):
+    """All places of one and of two words changed, dropped or added in the shortest passage, the rims of changed words too."""
+    item = [f"k{i}" for i in range(14)]
+    docs = {}
+    for kind in ("change", "drop", "add"):
+        for i in range(14):
+            for j in range(i, 14):
+                w = item[:]
+                for p in sorted({i, j}, reverse=True):
+                    if kind == "change":
+                        w[p] = "zz"
+                    elif kind == "drop":
+                        del w[p]
+                    else:
+                        w.insert(p, "zz")
+                # a word left out at the rim leaves no trace of a longer passage
+                whole = kind != "drop" or 0 < i and j < 13
+                docs[len(docs)] = (" ".join(["aa"] * 9 + w + ["bb"] * 9), whole)
+    df = spark.createDataFrame([(k, t) for k, (t, _) in docs.items()], "doc_id long, text string")
+    ev = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["edits"] for r in leaked_items(df, ev).collect()}
+    assert {k for k, (_, whole) in docs.items() if whole} - set(got) == set()
+    assert max(got.values()) == 2
+
+
+def test_repeated_words_are_aligned_best():
+    item = "a b a b c a b a b d e f g h i j k l a b".split()
+    text = "a b c a b a b d e f g h i j k l a b".split()
+    assert passage(item, text) == (20, 2)
