@@ -9,17 +9,17 @@ The distance that a similarity of one half implies (16 of 64) lies too near to t
 for one tree over everything to prune; its search would touch almost every node. So the trees are built per shard,
 a shard being the classes that share a band of MinHashes, and neighbours are sought within the shards. Instead of being
 broadcast, which would grow with the corpus, a shard's tree is built by the task that holds the shard. A shard of over
-``SHARD_ROWS`` classes is cut into tiles of bounded size which meet each other tile in tasks of their own. Every pair found is verified
+``SHARD_ROWS`` classes is cut into tiles of bounded size which meet each other tile in tasks of their own; shards that a sample
+shows to be as large are cut before they are shuffled, so that none comes to one task. Every pair found is verified
 exactly on the shingle sets.
 
-Bands are drawn from the shingles that less than ``FREQUENT_SHARE`` of the texts hold, and again from all shingles of a text
-for which those may not do (see :func:`frequent_part_covered`). A pair of similarity s or more shares a band with probability
-1-(1-s^ROWS)^BANDS at least, or ``SURE`` where that is less, however its common shingles are spread over frequent and infrequent ones.
+A pair of similarity s shares a band with probability 1-(1-s^ROWS)^bands, whatever its shingles; :func:`bands_for` gives the number of bands.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from quern.llm.words import WordHasher, mix, run_hashes, text_hash, words
 from quern.scale import materialize
 
-ROWS, BANDS = 3, 28
-FREQUENT_SHARE = 0.02
-#: A chance of sharing a band of infrequent shingles that makes bands of all shingles needless.
-SURE = 0.999
-#: Most classes of a shard searched in one tree.
-SHARD_ROWS = 4096
+#: MinHashes of a band, the most bands, and a chance of sharing one beyond which no more are drawn.
+ROWS, BANDS, SURE = 3, 36, 0.9995
+#: Most classes of a shard searched in one tree, and of a tree's leaf, whose values are compared directly.
+SHARD_ROWS, LEAF = 4096, 32
+#: Classes of the sample that tells large shards beforehand.
+SAMPLE_CLASSES = 50_000
 BITS = 64
 
 
@@ -46,13 +46,20 @@ def _multipliers(n: int, seed: int) -> np.ndarray:
 
 def minhash(sets: list[np.ndarray], n: int, seed: int) -> np.ndarray:
     """n MinHashes of each of the sets (32-bit shingle hashes), a row a set; all must have elements."""
-    flat = np.concatenate(sets).astype(np.uint64)
-    starts = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
-    out = np.empty((len(sets), n), np.uint64)
+    return _minhash(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])[:-1]], n, seed)
+
+
+def _minhash(flat: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.ndarray:
+    flat = flat.astype(np.uint64)
+    out = np.empty((len(starts), n), np.uint64)
+    v, w = np.empty_like(flat), np.empty_like(flat)
     for j, m in enumerate(_multipliers(n, seed)):
-        v = (flat + np.uint64(j + 1)) * m
-        v ^= v >> np.uint64(32)
-        out[:, j] = np.minimum.reduceat(v * m, starts)
+        np.add(flat, np.uint64(j + 1), out=v)
+        np.multiply(v, m, out=v)
+        np.right_shift(v, np.uint64(32), out=w)
+        np.bitwise_xor(v, w, out=v)
+        np.multiply(v, m, out=v)
+        out[:, j] = np.minimum.reduceat(v, starts)
     return out
 
 
@@ -95,15 +102,42 @@ def _raw_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=1) - (1 << 63)
 
 
-def frequent_part_covered(similarity: float, rows: int = ROWS, bands: int = BANDS) -> float:
-    """The largest part of frequent shingles with which a text does without bands of all its shingles.
+def bands_for(similarity: float, rows: int = ROWS, most: int = BANDS) -> int:
+    """The number of bands by which a pair of ``similarity`` shares one with the chance SURE, ``most`` at most."""
+    return 1 if similarity >= 1 else min(most, math.ceil(math.log(1 - SURE) / math.log(1 - similarity**rows)))
+
+
+def near_values(values: np.ndarray, radius: int, items: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b), a < b, of the values at most ``radius`` apart: a search of the BK-tree of all values for each of them at once.
 
-    If common frequent shingles are the part c of a union, a pair of ``similarity`` s has infrequent parts of similarity (s-c)/(1-c) at least,
-    and neither text has a part of frequent ones below c. Where that is t or more, bands of the infrequent shingles find the pair with the
-    chance that s promises (or ``SURE``); where it is less, both texts lie over (s-t)/(1-t) and have bands of all shingles.
+    A node's value is compared with all values that reach it, and its children (keyed by their distance to it) get those of them
+    whose distance differs from the key by ``radius`` at most. Up to ``LEAF`` values below a node are a leaf. With ``items`` the
+    tree is of the values at these places (ascending), searched for all others.
     """
-    t = min(similarity, (1 - (1 - SURE) ** (1 / bands)) ** (1 / rows))
-    return (similarity - t) / (1 - t) if t < 1 else 0.0
+    n, out = len(values), []
+    inner = np.zeros(n, bool)
+    if items is not None:
+        inner[items] = True
+    stack = [(np.arange(n), np.arange(n)) if items is None else (np.flatnonzero(~inner), items)]
+    while stack:
+        q, i = stack.pop()
+        if not len(q) or not len(i):
+            continue
+        if min(len(q), len(i)) <= LEAF:
+            x, y = np.nonzero(np.bitwise_count(values[q][:, None] ^ values[i][None, :]) <= radius)
+            out.append((q[x], i[y]))
+            continue
+        d = np.bitwise_count(values[q] ^ values[i[0]]).astype(np.int16)
+        near = q[d <= radius]
+        out.append((near, np.full(len(near), i[0])))
+        edge = np.bitwise_count(values[i[1:]] ^ values[i[0]])
+        for e in np.unique(edge):
+            stack.append((q[np.abs(d - int(e)) <= radius], i[1:][edge == e]))
+    a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+    if items is None:
+        keep = a < b
+        return a[keep], b[keep]
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], run: int, least_words: int, short: bool = False) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -122,49 +156,6 @@ def _shingled(batches: Iterator[pa.RecordBatch], run: int, least_words: int, sho
         yield b, out
 
 
-#: Texts counted exactly at a time; of each such chunk only shingles that a quarter of the share holds are carried on.
-CHUNK_TEXTS = 20_000
-
-
-def _count_shingles(batches, share: float):
-    """Rows (h, c, n) of a task: counts of shingles by lossy counting, too low by a quarter of the share at most, and the number n of its distinct texts."""
-    seen, parts, n = set(), [], 0
-    held = np.empty(0, np.uint32), np.empty(0, np.int64)
-
-    def fold(held, parts):
-        u, c = np.unique(np.concatenate(parts), return_counts=True)
-        often = c >= share / 4 * len(parts)
-        both = np.concatenate([held[0], u[often]])
-        u2, at = np.unique(both, return_inverse=True)
-        return u2, np.bincount(at, np.concatenate([held[1], c[often]]), len(u2)).astype(np.int64)
-
-    for b in batches:
-        for cls, sh in zip(b.column("cls").to_pylist(), b.column("sh").to_numpy(zero_copy_only=False)):
-            if cls not in seen:
-                seen.add(cls)
-                parts.append(np.array(sh, np.int32).view(np.uint32))
-                n += 1
-        if len(parts) >= CHUNK_TEXTS:
-            held, parts = fold(held, parts), []
-    if n:
-        u, c = fold(held, parts) if parts else held
-        keep = c >= share / 4 * n
-        yield pa.record_batch({"h": pa.array(np.r_[-1, u[keep].astype(np.int64)], pa.int64()), "c": pa.array(np.r_[n, c[keep]], pa.int64())})
-
-
-def frequent_shingles(classes: DataFrame, share: float = FREQUENT_SHARE) -> np.ndarray:
-    """Sorted shingle hashes that at least ``share`` of all distinct texts hold, and maybe some that half as many hold.
-
-    Tasks leave out shingles that less than half the share of their texts hold, and count others too low by a quarter of it at
-    most: a shingle of the full share still comes to half of it in sum. At most 2 * (mean shingles a text) / share values, whatever the size of the corpus.
-    """
-    counts = classes.where("sh is not null").select("cls", "sh").mapInArrow(lambda it: _count_shingles(it, share), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-    counts = materialize(counts, "shingles")
-    total = counts.where("h = -1")
-    rows = counts.join(F.broadcast(total.select(F.col("c").alias("n"))), F.col("c") >= F.col("n") * (share / 2)).where("h >= 0").select("h").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64)).astype(np.uint32)
-
-
 def _describe(batches, run: int, least_words: int, short: bool = False):
     """tbl, key, cls, sh: the class of each record and, once a task, its shingles."""
     seen = set()
@@ -182,67 +173,81 @@ def _describe(batches, run: int, least_words: int, short: bool = False):
         yield pa.record_batch({"tbl": b.column("tbl").take(at), "key": b.column("key").take(at), "cls": pa.array(cls, pa.int64()), "sh": pa.array(sets, pa.list_(pa.int32()))})
 
 
-def _bands(batches, frequent: np.ndarray, similarity: float, rows: int, bands: int):
-    """band, tbl, cls, fp of each class of a batch."""
-    covered = frequent_part_covered(similarity, rows, bands)
+def _bands(batches, rows: int, bands: int, hot: dict[int, int]):
+    """band, tbl, cls, fp of each class of a batch; of hot bands, with the number of their tiles, a row for each pair of tiles (side 0 or 1)."""
     for b in batches:
         sets = [np.asarray(x, np.int32).view(np.uint32) for x in b.column("sh").to_numpy(zero_copy_only=False)]
         if not sets:
             continue
         cls = b.column("cls").to_numpy()
         tbl = b.column("tbl").to_numpy(zero_copy_only=False)
-        fp = _fingerprints(sets)
-        flat, lengths = np.concatenate(sets), np.array([len(s) for s in sets])
-        if len(frequent):
-            at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
-            rare_flat = frequent[at] != flat
-        else:
-            rare_flat = np.ones(len(flat), bool)
-        cuts = np.cumsum(lengths)[:-1]
-        rare = [s[m] for s, m in zip(sets, np.split(rare_flat, cuts))]
-        part = np.array([len(r) for r in rare]) / lengths
-        for label, pick, source in ((1, np.flatnonzero(part > 0), rare), (2, np.flatnonzero(1 - part > covered), sets)):
-            if not len(pick):
-                continue
-            m = minhash([source[i] for i in pick], rows * bands, seed=7)
-            for j in range(bands):
-                key = np.full(len(pick), label * 1000 + j, np.uint64)
-                for r in range(rows):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, j * rows + r])
-                yield pa.record_batch({"band": pa.array(key.view(np.int64)), "tbl": pa.array(tbl[pick], pa.string()), "cls": pa.array(cls[pick]), "fp": pa.array(fp[pick])})
+        names = {t: xxhash.xxh3_64_intdigest(t or "") for t in set(tbl)}
+        which = np.array([names[t] for t in tbl], np.uint64)
+        m = minhash(sets, max(BITS, rows * bands), seed=7)
+        fp = _fingerprints(m)
+        large = np.array(sorted(hot), np.int64)
+        for j in range(bands):
+            key = which + np.uint64(j)
+            for r in range(rows):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, j * rows + r])
+            key = key.view(np.int64)
+            is_hot = np.isin(key, large) if len(large) else np.zeros(len(key), bool)
+            cold = np.flatnonzero(~is_hot)
+            yield _banded(key[cold], cls[cold], fp[cold])
+            for i in np.flatnonzero(is_hot).tolist():
+                tiles = hot[int(key[i])]
+                own = int(mix(cls[i : i + 1].view(np.uint64))[0] % np.uint64(tiles))
+                other = np.arange(tiles)
+                yield _banded(np.full(tiles, key[i]), np.full(tiles, cls[i]), np.full(tiles, fp[i]), np.minimum(own, other), np.maximum(own, other), (own > other).astype(np.int32))
+
+
+def _banded(band, cls, fp, x=None, y=None, side=None) -> pa.RecordBatch:
+    none = pa.nulls(len(band), pa.int32())
+    cells = [pa.array(c.astype(np.int32), pa.int32()) if c is not None else none for c in (x, y, side)]
+    return pa.record_batch([pa.array(band), pa.array(cls), pa.array(fp), *cells], names=["band", "cls", "fp", "x", "y", "side"])
+
+
+_BANDED = "band bigint, cls bigint, fp bigint, x int, y int, side int"
+
+
+def _fingerprints(m: np.ndarray) -> np.ndarray:
+    bits = (m[:, :BITS] >> np.uint64(40)) & np.uint64(1)
+    return (bits << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _fingerprints(sets: list[np.ndarray]) -> np.ndarray:
-    bits = (minhash(sets, BITS, seed=11) >> np.uint64(40)) & np.uint64(1)
-    return (bits << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+def hot_bands(shingles: DataFrame, rows: int, bands: int, limit: int, sample: int = SAMPLE_CLASSES) -> dict[int, int]:
+    """band -> number of tiles, of the bands that hold over 8 * ``limit`` classes by a sample of about ``sample`` of them.
+
+    At most sample * bands / 8 bands come to the driver, whatever the size of the corpus. A band that the sample misses is cut into tiles by the task
+    that gets it; the result is the same.
+    """
+    part = max(1, round(shingles.count() / sample))
+    if part == 1:
+        return {}  # all of a shard is then no more than a task's work
+    picked = shingles.where(F.pmod(F.xxhash64("cls"), F.lit(part)) == 0)
+    counts = picked.mapInArrow(lambda it: _bands(it, rows, bands, {}), _BANDED).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    return {r["band"]: -(-r["n"] * part // limit) for r in counts.where(F.col("n") >= max(8, 8 * limit / part)).collect()}
 
 
 def _search(band: np.ndarray, cls: np.ndarray, fp: np.ndarray, radius: int, limit: int, out: list, rest: list) -> None:
     """Pairs within the radius in each run of equal bands (rows sorted by band, cls); runs over the limit go to ``rest``."""
+    first = np.r_[True, (band[1:] != band[:-1]) | (cls[1:] != cls[:-1])]  # a class once in a band
+    band, cls, fp = band[first], cls[first], fp[first]
     starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-    ends = np.r_[starts[1:], len(band)]
-    size = ends - starts
-    two = starts[size == 2]
-    near = (cls[two] != cls[two + 1]) & (np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius)  # a tree of one node
-    out.append((cls[two[near]], cls[two[near] + 1]))
-    a, b = [], []
-    mask = (1 << 64) - 1
-    for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
-        ids, first = np.unique(cls[s:e], return_index=True)
-        if len(ids) > limit:
-            rest.append((band[s:e][first], ids, fp[s:e][first]))
+    size = np.diff(np.r_[starts, len(band)])
+    bits = fp.view(np.uint64)
+    for n in np.unique(size[(size > 1) & (size <= LEAF)]).tolist():
+        at = starts[size == n]  # trees that are one leaf, all of one size at once
+        for i in range(n - 1):
+            for j in range(i + 1, n):
+                near = at[np.bitwise_count(bits[at + i] ^ bits[at + j]) <= radius]
+                out.append((cls[near + i], cls[near + j]))
+    for s, n in zip(starts[size > LEAF].tolist(), size[size > LEAF].tolist()):
+        if n > limit:
+            rest.append((band[s : s + n], cls[s : s + n], fp[s : s + n]))
             continue
-        tree = None
-        for c, f in zip(ids.tolist(), fp[s:e][first].tolist()):
-            f &= mask
-            if tree is None:
-                tree = BKTree(f, c)
-                continue
-            found = list(tree.within(f, radius))
-            a += found
-            b += [c] * len(found)
-            tree.add(f, c)
-    out.append((np.array(a, np.int64), np.array(b, np.int64)))
+        a, b = near_values(bits[s : s + n], radius)
+        out.append((cls[s + a], cls[s + b]))
 
 
 def _search_sorted(batches, radius: int, limit: int):
@@ -291,30 +296,17 @@ def _search_sorted(batches, radius: int, limit: int):
         yield from done(*(np.concatenate(c) for c in zip(*held)))
 
 
-def _search_tile(radius: int, limit: int):
+def _search_tile(radius: int):
     def tile(pdf):
-        ids, fp, side = pdf["cls"].to_numpy(), pdf["fp"].to_numpy(), pdf["side"].to_numpy()
-        tree, a, b = None, [], []
-        mask = (1 << 64) - 1
-        same = bool(pdf["x"].iloc[0] == pdf["y"].iloc[0])
-        for c, f in zip(ids[side == 0].tolist(), fp[side == 0].tolist()):
-            if same and tree is not None:
-                found = [i for i in tree.within(f & mask, radius) if i != c]
-                a += found
-                b += [c] * len(found)
-            if tree is None:
-                tree = BKTree(f & mask, c)
-            else:
-                tree.add(f & mask, c)
-        if not same and tree is not None:
-            for c, f in zip(ids[side == 1].tolist(), fp[side == 1].tolist()):
-                found = [i for i in tree.within(f & mask, radius) if i != c]
-                a += found
-                b += [c] * len(found)
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
         import pandas as pd
 
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        pdf = pdf.drop_duplicates(["cls", "side"])
+        cls, fp, side = pdf["cls"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), pdf["side"].to_numpy()
+        if pdf["x"].iloc[0] == pdf["y"].iloc[0]:
+            a, b = near_values(fp, radius)
+        else:
+            a, b = near_values(fp, radius, np.flatnonzero(side == 0))
+        return pd.DataFrame({"a": np.minimum(cls[a], cls[b]), "b": np.maximum(cls[a], cls[b])})
 
     return tile
 
@@ -324,24 +316,25 @@ def text_classes(records: DataFrame, run: int = 3, least_words: int = 20, short:
     return materialize(records.select("tbl", "key", "text").mapInArrow(functools.partial(_describe, run=run, least_words=least_words, short=short), "tbl string, key string, cls bigint, sh array<int>"), "classes")
 
 
-def similar_classes(
-    classes: DataFrame, frequent: np.ndarray, similarity: float = 0.5, rows: int = ROWS, bands: int = BANDS, limit: int = SHARD_ROWS
-) -> DataFrame:
-    """(a, b, similarity) with a < b: pairs of different classes whose shingle sets have at least that Jaccard similarity."""
-    spark = classes.sparkSession
-    radius = radius_for(similarity)
+def similar_classes(classes: DataFrame, similarity: float = 0.5, rows: int = ROWS, limit: int = SHARD_ROWS, sample: int = SAMPLE_CLASSES) -> DataFrame:
+    """(a, b, similarity) with a < b: pairs of different classes of one table whose shingle sets have at least that Jaccard similarity."""
+    radius, bands = radius_for(similarity), bands_for(similarity, rows)
     shingles = classes.where("sh is not null").select("tbl", "cls", "sh")
-    known = spark.sparkContext.broadcast(frequent)
-    banded = shingles.mapInArrow(lambda it: _bands(it, known.value, similarity, rows, bands), "band bigint, tbl string, cls bigint, fp bigint")
-    shards = banded.select(F.xxhash64("band", "tbl").alias("band"), "cls", "fp").repartition("band").sortWithinPartitions("band", "cls")
+    hot = hot_bands(shingles, rows, bands, limit, sample)
+    banded = shingles.mapInArrow(lambda it: _bands(it, rows, bands, hot), _BANDED)
+    if hot:
+        banded = materialize(banded, "bands")
+    shards = banded.where("x is null").select("band", "cls", "fp").repartition("band").sortWithinPartitions("band", "cls")
     found = materialize(shards.mapInArrow(lambda it: _search_sorted(it, radius, limit), "kind int, a bigint, b bigint, fp bigint, pos bigint"), "shards")
     pairs = found.where("kind = 0").select("a", "b")
     large = found.where("kind = 1").select(F.col("a").alias("band"), F.col("b").alias("cls"), "fp", F.floor(F.col("pos") / limit).alias("tile"))
     tiles = large.groupBy("band").agg(F.max("tile").alias("top"))
     large = large.join(tiles, "band")
     spread = large.select("band", "cls", "fp", "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("other"))
-    spread = spread.select("band", "cls", "fp", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
-    more = spread.groupBy("band", "x", "y").applyInPandas(_search_tile(radius, limit), "a bigint, b bigint")
+    spread = spread.select("band", "cls", "fp", F.least("tile", "other").cast("int").alias("x"), F.greatest("tile", "other").cast("int").alias("y"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
+    if hot:
+        spread = spread.unionByName(banded.where("x is not null"))
+    more = spread.groupBy("band", "x", "y").applyInPandas(_search_tile(radius), "a bigint, b bigint")
     pairs = pairs.unionByName(more).where("a <> b").distinct()
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     one = shingles.select("cls", "sh").join(needed, "cls", "left_semi").dropDuplicates(["cls"])
@@ -351,7 +344,7 @@ def similar_classes(
     return both.where(F.col("similarity") >= similarity)
 
 
-def near_duplicate_pairs(records: DataFrame, run: int = 3, least_words: int = 20, similarity: float = 0.5, limit: int = SHARD_ROWS) -> DataFrame:
+def near_duplicate_pairs(records: DataFrame, run: int = 3, least_words: int = 20, similarity: float = 0.5, limit: int = SHARD_ROWS, sample: int = SAMPLE_CLASSES) -> DataFrame:
     """(tbl, key_a, key_b, similarity), key_a < key_b: records (tbl, key, text) of one table with similar texts.
 
     Similarity is the Jaccard similarity of the sets of runs of ``run`` words. Records with null key or text, or with
@@ -360,8 +353,7 @@ def near_duplicate_pairs(records: DataFrame, run: int = 3, least_words: int = 20
     """
     records = records.where(F.col("key").isNotNull() & F.col("text").isNotNull())
     classes = text_classes(records, run, least_words)
-    frequent = frequent_shingles(classes)
-    links = materialize(similar_classes(classes, frequent, similarity, limit=limit), "links")
+    links = materialize(similar_classes(classes, similarity, limit=limit, sample=sample), "links")
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     members = classes.select("tbl", "key", "cls").distinct()
     copied = members.groupBy("tbl", "cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity"))
@@ -379,7 +371,18 @@ def duplicate_groups(records: DataFrame, run: int = 5, least_words: int = 5, sim
     """
     records = records.where(F.col("key").isNotNull() if short else F.col("key").isNotNull() & F.col("text").isNotNull())
     classes = text_classes(records, run, least_words, short)
-    links = similar_classes(classes, frequent_shingles(classes), similarity)
+    links = similar_classes(classes, similarity)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     members = classes.select("tbl", "key", "cls").distinct()
     return members.join(degree, "cls", "left").select("tbl", "key", "cls", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+
+
+def class_links(records: DataFrame, run: int = 5, least_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(tbl, cls_a, cls_b, similarity), cls_a < cls_b: the classes of :func:`duplicate_groups` that are alike, once for each table that has both.
+
+    With the membership of the groups these are all similar pairs of records, without those between copies being written out.
+    """
+    classes = text_classes(records.where(F.col("key").isNotNull() & F.col("text").isNotNull()), run, least_words)
+    links = similar_classes(classes, similarity)
+    of = classes.select("tbl", "cls").distinct()
+    return links.join(of.withColumnRenamed("cls", "a"), "a").join(of.withColumnRenamed("cls", "b"), ["tbl", "b"]).select("tbl", F.col("a").alias("cls_a"), F.col("b").alias("cls_b"), "similarity")

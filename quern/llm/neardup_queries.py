@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.neardup import duplicate_groups, near_duplicate_pairs
+from quern.llm.neardup import class_links, duplicate_groups, near_duplicate_pairs
 from quern.sources.tables import table
 
 
@@ -23,5 +23,9 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return duplicate_groups(_records(spark, d), short=True)
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
+def p3_class_links(spark: SparkSession, d: str) -> DataFrame:
+    return class_links(_records(spark, d))
+
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p3_class_links": p3_class_links}
 ORACLE: dict[str, str] = {}

@@ -1,9 +1,10 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
-from quern.llm.neardup import BKTree, duplicate_groups, near_duplicate_pairs, radius_for
+from quern.llm.neardup import BKTree, bands_for, class_links, duplicate_groups, hot_bands, near_duplicate_pairs, near_values, radius_for, text_classes
 from quern.llm.words import words
 
 
@@ -118,3 +119,43 @@ def test_tree_finds_all_within_the_radius():
         for q in values[:40]:
             assert sorted(tree.within(q, r)) == [i for i, v in enumerate(values) if (q ^ v).bit_count() <= r]
     assert 16 < radius_for(0.5) < 32
+
+
+def test_searches_of_all_values_at_once():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 20, dtype=np.int64).astype(np.uint64)
+    values = np.r_[np.repeat(base, 30) ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)), rng.integers(0, 2**63, 400, dtype=np.int64).astype(np.uint64)]
+    for radius in (0, 2, 26):
+        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
+        a, b = near_values(values, radius)
+        assert sorted(zip(a.tolist(), b.tolist())) == [(x, y) for x, y in zip(*map(np.ndarray.tolist, np.nonzero(near))) if x < y]
+        inner = np.arange(100, 300)
+        a, b = near_values(values, radius, inner)
+        assert len(a) == near[np.ix_(inner, np.r_[0:100, 300:1000])].sum()
+    assert bands_for(0.5) == 36 and bands_for(0.8) < 14 and bands_for(1.0) == 1
+
+
+def test_hot_bands_are_cut_before_they_are_shuffled(spark):
+    rng, vocab = random.Random(9), [f"м{i}" for i in range(3000)]
+    base = [rng.choice(vocab) for _ in range(60)]
+    rows = []
+    for i in range(300):
+        w = base[:]
+        w[rng.randrange(60)] = f"x{i}"
+        rows.append(("t", f"h{i}", " ".join(w)))
+    rows += [("t", f"o{i}", " ".join(rng.choice(vocab) for _ in range(40))) for i in range(100)]
+    df = spark.createDataFrame(rows, "tbl string, key string, text string").repartition(4)
+    classes = text_classes(df, 3, 20)
+    assert hot_bands(classes, 3, 36, 8, 100) and not hot_bands(classes, 3, 36, 8)
+    want = {(a, b) for _, a, b in brute(rows, 3, 20, 0.5)}
+    got = {(r["key_a"], r["key_b"]) for r in near_duplicate_pairs(df, limit=8, sample=100).collect()}
+    assert got <= want and len(got) >= 0.999 * len(want) > 40_000
+
+
+def test_links_between_classes(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "tbl string, key string, text string")
+    cls = {(r["tbl"], r["key"]): r["cls"] for r in duplicate_groups(df).collect()}
+    want = {(t, *sorted((cls[t, a], cls[t, b]))) for t, a, b in brute(rows, 5, 5, 0.8) if cls[t, a] != cls[t, b]}
+    got = class_links(df).collect()
+    assert {(r["tbl"], r["cls_a"], r["cls_b"]) for r in got} == want and len(got) == len(want)
