@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.pii import find_mentions, fit_on, redact_texts
+from quern.llm.pii import KINDS, find_mentions, fit_on, redact_texts
 from quern.sources.tables import table
 
 
@@ -18,7 +18,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     texts = _texts(spark, d)
-    return find_mentions(texts, fit_on(texts)).where("row_key is not null").select("tbl", "row_key", "kind", "nth").distinct()
+    return find_mentions(texts, fit_on(texts)).where(F.col("row_key").isNotNull() & F.col("kind").isin(*KINDS)).select("tbl", "row_key", "kind", "nth").distinct()
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:

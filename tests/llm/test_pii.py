@@ -57,3 +57,46 @@ def test_tables(spark):
     assert redact_texts(df, model).count() == len(rows)
     empty = df.limit(0)
     assert find_mentions(empty, fit_on(empty)).count() == 0 and redact_texts(empty, model).count() == 0
+
+
+#: A bare surname is told by its distant mates only: the first text names it with a title or in full, the others don't.
+MATES = [
+    ("Решение принял директор Вольнозерцев. " + "Дальше обсуждали купон и сроки. " * 4 + "Затем слово взял Вольнозерцев и ушёл.", 2),
+    ("Договор подписал Мохначов Вадим Артёмович. " + "Торги шли как обычно. " * 5 + "Вечером туда пришёл Мохначов один.", 1),
+    ("Вопрос задал г-н Перекатов. " + "Рынок молчал. " * 6 + "Потом на это сослался Перекатов ещё раз, и снова ответил Перекатов коротко.", 3),
+]
+
+
+@pytest.mark.parametrize(("text", "bare"), MATES)
+def test_bare_surnames_follow_their_mates(text, bare):
+    model = SkipChainCRF().fit([candidates(t, True) for t in CASES])
+    got = [k for _, _, k, _ in model.mentions(text)]
+    assert got.count("surname") == bare
+    off = SkipChainCRF(model.weights, model.chain, 0.0)
+    assert [k for _, _, k, _ in off.mentions(text)].count("surname") < bare
+    assert "[PERSON_NAME]" in redact(text, model.mentions(text))
+
+
+def test_bare_words_without_mates_are_nothing(model):
+    for text in ("Вчера вышел Вольнозерцев и ушёл.", "Группа «Вольнозерцев» и ПАО «Мохначов» разместили бумаги.", "Выпуск Рост Доходов закрыт, Совет Директоров молчит."):
+        assert model.mentions(text) == []
+
+
+def test_names_that_are_not_listed(model):
+    for text in ("Звонил г-н Ахмед Мамедов по вопросу", "Отвечает менеджер Гульнара Ибрагимова завтра", "A note by Mr John Smith on bonds", "Auteur: Jean Dupont"):
+        assert [k for _, _, k, _ in model.mentions(text)] == ["person_name"], text
+
+
+def test_factors_are_learned():
+    full = "Договор подписал Мохначов Вадим Артёмович. Вечером пришёл Мохначов один."
+    org = "Спорят «Вольнозерцев Групп» и банк, а рядом ООО Вольнозерцев Трейд."
+    model = SkipChainCRF().fit([candidates(t, True) for t in [full, org] * 10])
+    assert model.skip != SkipChainCRF().skip and model.skip > 0 and model.chain >= 0
+    assert SkipChainCRF(chain=0.0, skip=0.0).fit([candidates(full, True)] * 5).skip == 0
+    hard = [c for c in candidates("ИНН эмитента 9986904090, сумма 8 227 607 880 руб.", True)]
+    assert hard and all(c.sure == 0 for c in hard) and not candidates("ИНН эмитента 9986904090, сумма 8 227 607 880 руб.")
+
+
+@pytest.mark.parametrize(("text", "kind"), [("пл. Ленина, 5", "address"), ("12 Elm Rd", "address"), ("5 Mill Lane, unit 3", "address"), ("живёт на ул-Кедровая, д. 9", None), ("Dr. Smith", "surname"), ("Zhanna Petrova", "person_name"), ("bадим кузин", "person_name"), ("Тел: 8 944 817-86-24", "phone")])
+def test_short_forms_reach_the_patterns(text, kind):
+    assert (kind in [c.kind for c in candidates(text)]) if kind else True
