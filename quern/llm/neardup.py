@@ -1,11 +1,11 @@
 """Near-duplicate texts by BK-trees over bit fingerprints.
 
 Every text becomes its set of shingles (runs of words). Records with the same words form a class; only
-classes are compared. A class has a 64-bit fingerprint, bit i being the parity of its i-th MinHash,
+classes are compared. A class has a fingerprint of 128 bits, bit i being a bit of its i-th MinHash,
 whose Hamming distance falls with the similarity of the shingle sets. BK-trees (children keyed by the integer
 Hamming distance to their parent) are searched within a radius.
 
-The distance that a similarity of one half implies (16 of 64) lies too near to that of unrelated texts (32)
+The distance that a similarity of one half implies (32 of 128, 47 allowed) lies too near to that of unrelated texts (64)
 for one tree over everything to prune; its search would touch almost every node. So the trees are built per shard,
 a shard being the classes that share a band of MinHashes, and neighbours are sought within the shards. Instead of being
 broadcast, which would grow with the corpus, a shard's tree is built by the task that holds the shard. A shard of over
@@ -32,12 +32,13 @@ from quern.llm.words import WordHasher, mix, run_hashes, text_hash, words
 from quern.scale import materialize
 
 #: MinHashes of a band, the most bands, and a chance of sharing one beyond which no more are drawn.
-ROWS, BANDS, SURE = 3, 36, 0.9995
+ROWS, BANDS, SURE = 3, 28, 0.9995
 #: Most classes of a shard searched in one tree, and of a tree's leaf, whose values are compared directly.
 SHARD_ROWS, LEAF = 4096, 32
 #: Classes of the sample that tells large shards beforehand.
 SAMPLE_CLASSES = 50_000
-BITS = 64
+#: Bits of a fingerprint, held in words of 64.
+BITS = 128
 
 
 def _multipliers(n: int, seed: int) -> np.ndarray:
@@ -92,7 +93,7 @@ class BKTree:
             stack += [child for edge, child in node.children.items() if d - radius <= edge <= d + radius]
 
 
-def radius_for(similarity: float, bits: int = BITS, sigmas: float = 3.0) -> int:
+def radius_for(similarity: float, bits: int = 64, sigmas: float = 3.0) -> int:
     """The Hamming radius that pairs of at least ``similarity`` exceed with the chance of ``sigmas`` deviations at most."""
     p = (1 - similarity) / 2
     return round(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5)
@@ -107,8 +108,13 @@ def bands_for(similarity: float, rows: int = ROWS, most: int = BANDS) -> int:
     return 1 if similarity >= 1 else min(most, math.ceil(math.log(1 - SURE) / math.log(1 - similarity**rows)))
 
 
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints, the last axis being their words."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
+
+
 def near_values(values: np.ndarray, radius: int, items: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b), a < b, of the values at most ``radius`` apart: a search of the BK-tree of all values for each of them at once.
+    """Places (a, b), a < b, of the values (a row of 64-bit words each) at most ``radius`` apart: a search of the BK-tree of all values for each of them at once.
 
     A node's value is compared with all values that reach it, and its children (keyed by their distance to it) get those of them
     whose distance differs from the key by ``radius`` at most. Up to ``LEAF`` values below a node are a leaf. With ``items`` the
@@ -124,13 +130,13 @@ def near_values(values: np.ndarray, radius: int, items: np.ndarray | None = None
         if not len(q) or not len(i):
             continue
         if min(len(q), len(i)) <= LEAF:
-            x, y = np.nonzero(np.bitwise_count(values[q][:, None] ^ values[i][None, :]) <= radius)
+            x, y = np.nonzero(_distance(values[q][:, None], values[i][None, :]) <= radius)
             out.append((q[x], i[y]))
             continue
-        d = np.bitwise_count(values[q] ^ values[i[0]]).astype(np.int16)
+        d = _distance(values[q], values[i[0]])
         near = q[d <= radius]
         out.append((near, np.full(len(near), i[0])))
-        edge = np.bitwise_count(values[i[1:]] ^ values[i[0]])
+        edge = _distance(values[i[1:]], values[i[0]])
         for e in np.unique(edge):
             stack.append((q[np.abs(d - int(e)) <= radius], i[1:][edge == e]))
     a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
@@ -174,7 +180,8 @@ def _describe(batches, run: int, least_words: int, short: bool = False):
 
 
 def _bands(batches, rows: int, bands: int, hot: dict[int, int]):
-    """band, tbl, cls, fp of each class of a batch; of hot bands, with the number of their tiles, a row for each pair of tiles (side 0 or 1)."""
+    """Band, class and fingerprint of each class of a batch; of hot bands, with the number of their tiles, a row for each pair of tiles (side 0 or 1)."""
+    large = np.array(sorted(hot), np.int64)
     for b in batches:
         sets = [np.asarray(x, np.int32).view(np.uint32) for x in b.column("sh").to_numpy(zero_copy_only=False)]
         if not sets:
@@ -185,7 +192,6 @@ def _bands(batches, rows: int, bands: int, hot: dict[int, int]):
         which = np.array([names[t] for t in tbl], np.uint64)
         m = minhash(sets, max(BITS, rows * bands), seed=7)
         fp = _fingerprints(m)
-        large = np.array(sorted(hot), np.int64)
         for j in range(bands):
             key = which + np.uint64(j)
             for r in range(rows):
@@ -198,21 +204,23 @@ def _bands(batches, rows: int, bands: int, hot: dict[int, int]):
                 tiles = hot[int(key[i])]
                 own = int(mix(cls[i : i + 1].view(np.uint64))[0] % np.uint64(tiles))
                 other = np.arange(tiles)
-                yield _banded(np.full(tiles, key[i]), np.full(tiles, cls[i]), np.full(tiles, fp[i]), np.minimum(own, other), np.maximum(own, other), (own > other).astype(np.int32))
+                yield _banded(np.full(tiles, key[i]), np.full(tiles, cls[i]), np.repeat(fp[i : i + 1], tiles, axis=0), np.minimum(own, other), np.maximum(own, other), (own > other).astype(np.int32))
 
 
 def _banded(band, cls, fp, x=None, y=None, side=None) -> pa.RecordBatch:
     none = pa.nulls(len(band), pa.int32())
     cells = [pa.array(c.astype(np.int32), pa.int32()) if c is not None else none for c in (x, y, side)]
-    return pa.record_batch([pa.array(band), pa.array(cls), pa.array(fp), *cells], names=["band", "cls", "fp", "x", "y", "side"])
+    return pa.record_batch([pa.array(band), pa.array(cls), pa.array(np.ascontiguousarray(fp[:, 0])), pa.array(np.ascontiguousarray(fp[:, 1])), *cells], names=["band", "cls", "fp", "fq", "x", "y", "side"])
 
 
-_BANDED = "band bigint, cls bigint, fp bigint, x int, y int, side int"
+_BANDED = "band bigint, cls bigint, fp bigint, fq bigint, x int, y int, side int"
 
 
 def _fingerprints(m: np.ndarray) -> np.ndarray:
+    """(sets, 2): the two words of each fingerprint."""
     bits = (m[:, :BITS] >> np.uint64(40)) & np.uint64(1)
-    return (bits << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+    halves = bits.reshape(len(m), 2, 64) << np.arange(64, dtype=np.uint64)
+    return halves.sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 def hot_bands(shingles: DataFrame, rows: int, bands: int, limit: int, sample: int = SAMPLE_CLASSES) -> dict[int, int]:
@@ -230,18 +238,22 @@ def hot_bands(shingles: DataFrame, rows: int, bands: int, limit: int, sample: in
 
 
 def _search(band: np.ndarray, cls: np.ndarray, fp: np.ndarray, radius: int, limit: int, out: list, rest: list) -> None:
-    """Pairs within the radius in each run of equal bands (rows sorted by band, cls); runs over the limit go to ``rest``."""
+    """Pairs within the radius in each run of equal bands; runs over the limit go to ``rest``."""
+    order = np.lexsort((cls, band))
+    band, cls, fp = band[order], cls[order], fp[order]
     first = np.r_[True, (band[1:] != band[:-1]) | (cls[1:] != cls[:-1])]  # a class once in a band
     band, cls, fp = band[first], cls[first], fp[first]
     starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
     size = np.diff(np.r_[starts, len(band)])
     bits = fp.view(np.uint64)
     for n in np.unique(size[(size > 1) & (size <= LEAF)]).tolist():
-        at = starts[size == n]  # trees that are one leaf, all of one size at once
-        for i in range(n - 1):
-            for j in range(i + 1, n):
-                near = at[np.bitwise_count(bits[at + i] ^ bits[at + j]) <= radius]
-                out.append((cls[near + i], cls[near + j]))
+        # trees that are one leaf, all of one size at once
+        at = starts[size == n][:, None] + np.arange(n)
+        i, j = np.triu_indices(n, 1)
+        for part in np.array_split(at, len(at) * len(i) // 1_000_000 + 1):
+            x, y = part[:, i], part[:, j]
+            near = _distance(bits[x], bits[y]) <= radius
+            out.append((cls[x[near]], cls[y[near]]))
     for s, n in zip(starts[size > LEAF].tolist(), size[size > LEAF].tolist()):
         if n > limit:
             rest.append((band[s : s + n], cls[s : s + n], fp[s : s + n]))
@@ -250,27 +262,32 @@ def _search(band: np.ndarray, cls: np.ndarray, fp: np.ndarray, radius: int, limi
         out.append((cls[s + a], cls[s + b]))
 
 
+_FOUND = "kind int, a bigint, b bigint, fp bigint, fq bigint, pos bigint"
+
+
 def _search_sorted(batches, radius: int, limit: int):
-    """Pairs (kind 0: a, b) and members of over-large shards (kind 1: band, cls, fp as a, b, fp, with their position) of rows sorted by band, cls."""
+    """Pairs (kind 0: a, b) and members of over-large shards (kind 1: band, cls as a, b, with their position) of rows sorted by band."""
     held: list = []  # pieces of the run that is not known to have ended
     spilled, position = None, 0  # band of a run already over the limit
 
     def emit(kind, a, b, fp=None, pos=None):
-        n = len(a)
-        z = np.zeros(n, np.int64)
-        return pa.record_batch({"kind": pa.array(np.full(n, kind, np.int32)), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "fp": pa.array(z if fp is None else fp, pa.int64()), "pos": pa.array(z if pos is None else pos, pa.int64())})
+        none = pa.nulls(len(a), pa.int64())
+        p, q = (none, none) if fp is None else (pa.array(np.ascontiguousarray(fp[:, k])) for k in (0, 1))
+        cells = [pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), p, q, none if pos is None else pa.array(pos, pa.int64())]
+        return pa.record_batch(cells, names=["kind", "a", "b", "fp", "fq", "pos"])
 
     def done(band, cls, fp):
         out, rest = [], []
         _search(band, cls, fp, radius, limit, out, rest)
-        for a, b in out:
-            if len(a):
-                yield emit(0, np.minimum(a, b), np.maximum(a, b))
+        if out:
+            a, b = (np.concatenate(x) for x in zip(*out))
+            yield emit(0, np.minimum(a, b), np.maximum(a, b))
         for band, ids, f in rest:
             yield emit(1, band, ids, f, np.arange(len(ids)))
 
     for x in batches:
-        band, cls, fp = (x.column(c).to_numpy() for c in ("band", "cls", "fp"))
+        band, cls = (x.column(c).to_numpy() for c in ("band", "cls"))
+        fp = np.stack([x.column(c).to_numpy() for c in ("fp", "fq")], axis=1)
         if not len(band):
             continue
         if spilled is not None:
@@ -301,7 +318,7 @@ def _search_tile(radius: int):
         import pandas as pd
 
         pdf = pdf.drop_duplicates(["cls", "side"])
-        cls, fp, side = pdf["cls"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), pdf["side"].to_numpy()
+        cls, fp, side = pdf["cls"].to_numpy(), pdf[["fp", "fq"]].to_numpy(np.int64).view(np.uint64), pdf["side"].to_numpy()
         if pdf["x"].iloc[0] == pdf["y"].iloc[0]:
             a, b = near_values(fp, radius)
         else:
@@ -318,20 +335,20 @@ def text_classes(records: DataFrame, run: int = 3, least_words: int = 20, short:
 
 def similar_classes(classes: DataFrame, similarity: float = 0.5, rows: int = ROWS, limit: int = SHARD_ROWS, sample: int = SAMPLE_CLASSES) -> DataFrame:
     """(a, b, similarity) with a < b: pairs of different classes of one table whose shingle sets have at least that Jaccard similarity."""
-    radius, bands = radius_for(similarity), bands_for(similarity, rows)
+    radius, bands = radius_for(similarity, BITS), bands_for(similarity, rows)
     shingles = classes.where("sh is not null").select("tbl", "cls", "sh")
     hot = hot_bands(shingles, rows, bands, limit, sample)
     banded = shingles.mapInArrow(lambda it: _bands(it, rows, bands, hot), _BANDED)
     if hot:
         banded = materialize(banded, "bands")
-    shards = banded.where("x is null").select("band", "cls", "fp").repartition("band").sortWithinPartitions("band", "cls")
-    found = materialize(shards.mapInArrow(lambda it: _search_sorted(it, radius, limit), "kind int, a bigint, b bigint, fp bigint, pos bigint"), "shards")
+    shards = banded.where("x is null").select("band", "cls", "fp", "fq").repartition("band").sortWithinPartitions("band")
+    found = materialize(shards.mapInArrow(lambda it: _search_sorted(it, radius, limit), _FOUND), "shards")
     pairs = found.where("kind = 0").select("a", "b")
-    large = found.where("kind = 1").select(F.col("a").alias("band"), F.col("b").alias("cls"), "fp", F.floor(F.col("pos") / limit).alias("tile"))
+    large = found.where("kind = 1").select(F.col("a").alias("band"), F.col("b").alias("cls"), "fp", "fq", F.floor(F.col("pos") / limit).alias("tile"))
     tiles = large.groupBy("band").agg(F.max("tile").alias("top"))
     large = large.join(tiles, "band")
-    spread = large.select("band", "cls", "fp", "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("other"))
-    spread = spread.select("band", "cls", "fp", F.least("tile", "other").cast("int").alias("x"), F.greatest("tile", "other").cast("int").alias("y"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
+    spread = large.select("band", "cls", "fp", "fq", "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("other"))
+    spread = spread.select("band", "cls", "fp", "fq", F.least("tile", "other").cast("int").alias("x"), F.greatest("tile", "other").cast("int").alias("y"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
     if hot:
         spread = spread.unionByName(banded.where("x is not null"))
     more = spread.groupBy("band", "x", "y").applyInPandas(_search_tile(radius), "a bigint, b bigint")

@@ -125,14 +125,16 @@ def test_searches_of_all_values_at_once():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 20, dtype=np.int64).astype(np.uint64)
     values = np.r_[np.repeat(base, 30) ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)), rng.integers(0, 2**63, 400, dtype=np.int64).astype(np.uint64)]
-    for radius in (0, 2, 26):
-        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
+    values = np.stack([values, rng.permutation(values)], axis=1)
+    values[:600, 1] = 7
+    for radius in (0, 2, 47):
+        near = np.bitwise_count(values[:, None] ^ values[None, :]).sum(axis=2) <= radius
         a, b = near_values(values, radius)
         assert sorted(zip(a.tolist(), b.tolist())) == [(x, y) for x, y in zip(*map(np.ndarray.tolist, np.nonzero(near))) if x < y]
         inner = np.arange(100, 300)
         a, b = near_values(values, radius, inner)
         assert len(a) == near[np.ix_(inner, np.r_[0:100, 300:1000])].sum()
-    assert bands_for(0.5) == 36 and bands_for(0.8) < 14 and bands_for(1.0) == 1
+    assert bands_for(0.5) == 28 and bands_for(0.8) < 14 and bands_for(1.0) == 1
 
 
 def test_hot_bands_are_cut_before_they_are_shuffled(spark):
@@ -146,7 +148,7 @@ def test_hot_bands_are_cut_before_they_are_shuffled(spark):
     rows += [("t", f"o{i}", " ".join(rng.choice(vocab) for _ in range(40))) for i in range(100)]
     df = spark.createDataFrame(rows, "tbl string, key string, text string").repartition(4)
     classes = text_classes(df, 3, 20)
-    assert hot_bands(classes, 3, 36, 8, 100) and not hot_bands(classes, 3, 36, 8)
+    assert hot_bands(classes, 3, 28, 8, 100) and not hot_bands(classes, 3, 28, 8)
     want = {(a, b) for _, a, b in brute(rows, 3, 20, 0.5)}
     got = {(r["key_a"], r["key_b"]) for r in near_duplicate_pairs(df, limit=8, sample=100).collect()}
     assert got <= want and len(got) >= 0.999 * len(want) > 40_000
