@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,18 +44,42 @@ def ngrams(toks: Column, low: int, high: int) -> Column:
     return F.flatten(F.array(*[of(n) for n in range(low, high + 1)]))
 
 
-def is_short_low_info(c: Column) -> Column:
-    """At most two tokens, or one of the replies that say nothing."""
+def says_little(c: Column) -> Column:
+    """Whether a reply is too short to tell its subject: nothing is left of it, it has two tokens at most, or it is a stock reply."""
     t = normalize_match_text(c)
-    return (t == "") | t.isin(*LOW_INFO_REPLIES) | (F.size(tokens(t)) <= 2)
+    return (F.size(tokens(t)) < 3) | t.isin("", *LOW_INFO_REPLIES)
+
+
+# What the cleaning of short posts takes out, in order, and by what it is replaced. W stands for letters, digits and '_', S for white space.
+CLEANING = [(r"https?://[^S]+|www\.[^S]+", ""), (r"<[^>]+>", ""), (r"[^S]+@[^S]+", ""), (r"@[W]+", ""), (r"#[W]+", ""), (r"(?<![W])rt(?![W])", ""), (r"\p{Nd}+", ""), (r"[^WS]", " "), (r"[^\x00-\x7F]", "")]
 
 
 def clean_post(c: Column) -> Column:
-    """The cleaning chain of short posts: lower case; links, tags, addresses, mentions, hashtags, 'rt', digits, punctuation and non-ASCII letters out."""
+    """The cleaning chain of short posts: lower case; links, tags, addresses, mentions, hashtags, 'rt' and digits out, punctuation as blanks, other than ASCII out, blanks squeezed."""
     s = F.lower(c)
-    for rx in (r"https?://\S+|www\.\S+", r"<[^>]*>", r"\S+@\S+", r"@[a-z0-9_]+", r"#[a-z0-9_]+", r"\brt\b", r"[0-9]+", r"[!-/:-@\[-`{-~]", r"[^\x00-\x7f]"):
-        s = F.regexp_replace(s, rx, " ")
-    return squeeze(s)
+    for rx, by in CLEANING:
+        s = F.regexp_replace(s, rx.replace("W", r"\p{L}\p{N}_").replace("S", r"\s\p{Z}\x{85}"), by)
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def remove_words(toks: Column, words: list[str]) -> Column:
+    """The tokens that are none of the words, in order."""
+    stop = F.array(*[F.lit(w) for w in words])
+    return F.filter(toks, lambda t: ~F.array_contains(stop, t))
+
+
+def pattern_flag(c: Column, pattern: str) -> Column:
+    """(flag, first): whether a pattern occurs, letter case aside, and the first text it matches (null if none)."""
+    hit = F.regexp_extract(F.coalesce(c, F.lit("")), f"(?iu)({pattern})", 1)
+    return F.struct((hit != "").alias("flag"), F.nullif(hit, F.lit("")).alias("first"))
+
+
+def stem_near(toks: Column, start: Column, end: Column, stems: list[str], left: int, right: int) -> Column:
+    """Whether a token from ``left`` before to ``right`` behind the span [start, end) (from 0) begins with one of the stems."""
+    low = F.greatest(start - left, F.lit(0))
+    window = F.slice(toks, low + 1, F.least(F.size(toks), end + right) - low)
+    begins = lambda t: functools.reduce(lambda x, y: x | y, [F.startswith(t, F.lit(s)) for s in stems])
+    return F.exists(window, begins)
 
 
 def strip_html(c: Column) -> Column:

@@ -36,10 +36,14 @@ def negative_part(c: Column) -> Column:
     return F.greatest(-c, F.lit(0))
 
 
+# Spellings of a reviewer's yes and no.
+YES, NO = ("1", "true", "yes", "y", "correct", "tp"), ("0", "false", "no", "n", "incorrect", "fp")
+
+
 def label01(c: Column) -> Column:
     """A reviewer's label as 1, 0 or null."""
     s = F.lower(F.trim(c))
-    return F.when(s.isin("1", "yes", "true", "tp", "correct", "y", "ok"), 1).when(s.isin("0", "no", "false", "fp", "incorrect", "wrong", "n"), 0)
+    return F.when(s.isin(*YES), 1).when(s.isin(*NO), 0)
 
 
 def enum(c: Column, allowed: list[str], default: str) -> Column:
@@ -51,8 +55,61 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.1, "*").otherwise("")
 
 
-def evidence(p: Column) -> Column:
-    return F.when(p < 0.01, "strong").when(p < 0.05, "moderate").when(p < 0.1, "weak").when(p.isNotNull(), "none")
+def evidence(coefficient: Column, p: Column, expected: Column | str = "") -> Column:
+    """What an estimate says about a hypothesis of sign ``expected`` ('positive', 'negative' or none): significant at ten percent, and in that direction."""
+    want = F.lit(expected) if isinstance(expected, str) else expected
+    known = coefficient.isNotNull() & p.isNotNull() & ~F.isnan(coefficient) & ~F.isnan(p)
+    agrees = F.when(want == "positive", coefficient > 0).when(want == "negative", coefficient < 0)
+    return F.when(~known, "not estimated").when(p >= 0.1, "no evidence").when(agrees.isNull(), "significant").when(agrees, "supports").otherwise("opposite sign")
+
+
+def plain_dashes(c: Column) -> Column:
+    """Long dashes as '-', trimmed."""
+    return F.trim(F.translate(c, "–—", "--"))
+
+
+def padded_id(c: Column, width: int = 10) -> Column:
+    """The part before the first point, with zeros in front up to ``width``; longer ones stay."""
+    head = F.substring_index(F.trim(c.cast("string")), ".", 1)
+    return F.when(F.length(head) < width, F.lpad(head, width, "0")).otherwise(head)
+
+
+def time_ago(c: Column, now: Column) -> Column:
+    """'N minutes ago', 'N hours ago' before ``now`` (which is also 'just now'), or 'Oct 26, 2025, 11:56'; null for any other text."""
+    s = F.lower(F.trim(c))
+    count, unit = F.regexp_extract(s, r"^(\d+)\s+(minute|hour)s?\s+ago", 1).try_cast("int"), F.regexp_extract(s, r"^(\d+)\s+(minute|hour)s?\s+ago", 2)
+    back = F.when(unit == "minute", F.make_interval(mins=count)).when(unit == "hour", F.make_interval(hours=count))
+    return F.coalesce(now - back, F.when(s == "just now", now), F.try_to_timestamp(F.initcap(s), F.lit("MMM d, yyyy, HH:mm")))
+
+
+def recovered_json(c: Column, schema: str) -> Column:
+    """A JSON object read as it is, else from the first '{' to the last '}' of the text, else null."""
+    whole = F.get_json_object(c, "$").isNotNull() & F.startswith(F.trim(c), F.lit("{"))
+    return F.from_json(F.when(whole, c).otherwise(json_part(c, "{", "}")), schema)
+
+
+def sorted_json(c: Column) -> Column:
+    """A list as JSON text, sorted, each value once."""
+    return F.to_json(F.array_sort(F.array_distinct(c)))
+
+
+def percent(c: Column) -> Column:
+    """A share as text in percent with one digit."""
+    return F.concat(F.format_string("%.1f", c * 100), F.lit("%"))
+
+
+def key_parts(c: Column) -> Column:
+    """(source, local): what stands before and behind the first ':' of a key; the whole key is local if it has none."""
+    at = F.instr(c, ":")
+    return F.struct(F.when(at > 0, F.substring(c, F.lit(1), at - 1)).alias("source"), F.when(at > 0, F.substring(c, at + 1, F.length(c))).otherwise(c).alias("local"))
+
+
+def period_days(c: Column, days: dict[str, int], default: int) -> Column:
+    """The days a named period stands for."""
+    out = F.lit(default)
+    for name, n in days.items():
+        out = F.when(c == name, n).otherwise(out)
+    return out
 
 
 def month_before(c: Column) -> Column:

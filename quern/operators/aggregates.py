@@ -32,26 +32,55 @@ def sentiment_metrics(relevant: Column, sentiment: Column, score: Column, weight
     ]
 
 
+def _long(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns])).alias("p")).select("p.*")
+
+
+def exact_percentiles(df: DataFrame, columns: list[str], probabilities: list[float], ranges: int = 64) -> DataFrame:
+    """(variable, q): the exact percentiles of each column, interpolated between neighbours; nulls are left out.
+
+    Distinct values are counted and their running counts made within ranges between approximate percentiles, which are many small tasks
+    whatever the spread of the values; only the sums of the ranges are put together in one place.
+    """
+    x = _long(df, columns).where("x is not null")
+    edges = x.groupBy("variable").agg(F.percentile_approx("x", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("edges"))
+    counts = x.groupBy("variable", "x").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(edges), "variable")
+    counts = counts.select("variable", "x", "n", F.size(F.filter("edges", lambda e: e < F.col("x"))).alias("b"))
+    sums = counts.groupBy("variable", "b").agg(F.sum("n").alias("s"))
+    whole = Window.partitionBy("variable")
+    sums = sums.select("variable", "b", (F.sum("s").over(whole.orderBy("b")) - F.col("s")).alias("before"), F.sum("s").over(whole).alias("all"))
+    inner = Window.partitionBy("variable", "b").orderBy("x")
+    upto = counts.withColumn("in", F.sum("n").over(inner)).join(F.broadcast(sums), ["variable", "b"]).withColumn("upto", F.col("in") + F.col("before"))
+    place = lambda p: F.lit(p) * (F.col("all") - 1)
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("x")))
+    ends = upto.groupBy("variable").agg(F.max("all").alias("all"), *[at(F.floor(place(p))).alias(f"l{i}") for i, p in enumerate(probabilities)], *[at(F.ceil(place(p))).alias(f"h{i}") for i, p in enumerate(probabilities)])
+    part = lambda i, p: F.col(f"l{i}") + (F.col(f"h{i}") - F.col(f"l{i}")) * (place(p) - F.floor(place(p)))
+    return ends.select("variable", F.array(*[part(i, p) for i, p in enumerate(probabilities)]).alias("q"))
+
+
 def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row a column: n, missing, moments (bias-corrected skewness and kurtosis) and exact percentiles."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns])).alias("p")).select("p.*")
     n, g1, g2 = F.count("x").cast("double"), F.skewness("x"), F.kurtosis("x")
     quantiles = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    out = long.groupBy("variable").agg(
+    out = _long(df, columns).groupBy("variable").agg(
         F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.percentile("x", F.array(*[F.lit(q) for q in quantiles.values()])).alias("__q"),
         F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurtosis"),
     )
-    return out.select("variable", "n", "missing", "mean", "std", "min", *[F.col("__q")[i].alias(k) for i, k in enumerate(quantiles)], "max", "skew", "kurtosis")
+    out = out.join(exact_percentiles(df, columns, list(quantiles.values())), "variable", "left")
+    return out.select("variable", "n", "missing", "mean", "std", "min", *[F.col("q")[i].alias(k) for i, k in enumerate(quantiles)], "max", "skew", "kurtosis")
 
 
 def category_counts(df: DataFrame, columns: list[str], top: int = 25) -> DataFrame:
-    """(variable, value, n, share, place): the ``top`` values of each column; null as 'Missing', ties by value."""
+    """(variable, value, n, share, place): the ``top`` values of each column; null as 'Missing', ties by value.
+
+    The ranking is cut to ``top`` values in every task before the shuffle.
+    """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.coalesce(F.col(c).cast("string"), F.lit("Missing")).alias("value")) for c in columns])).alias("p")).select("p.*")
     counts = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
-    total = Window.partitionBy("variable")
-    counts = counts.withColumn("share", F.col("n") / F.sum("n").over(total)).withColumn("place", F.row_number().over(total.orderBy(F.desc("n"), "value")))
-    return counts.where(F.col("place") <= top)
+    place = F.row_number().over(Window.partitionBy("variable").orderBy(F.desc("n"), "value"))
+    best = counts.withColumn("place", place).where(F.col("place") <= top)
+    total = df.agg(F.count(F.lit(1)).alias("__n"))
+    return best.crossJoin(F.broadcast(total)).select("variable", "value", "n", (F.col("n") / F.col("__n")).alias("share"), "place")
 
 
 def with_total(df: DataFrame, key: str, aggs: list[Column], label: str = "TOTAL") -> DataFrame:
@@ -85,22 +114,26 @@ def correlations(df: DataFrame, columns: list[str], least: float = 0.0) -> DataF
     return out.where(F.col("r").isNotNull() & (F.abs("r") > least))
 
 
+def _cuts(df: DataFrame, columns: list[str], low: float, high: float) -> DataFrame:
+    """One row with the two percentiles of each column as ``__column``."""
+    q = exact_percentiles(df, columns, [low, high])
+    return q.agg(*[F.max(F.when(F.col("variable") == c, F.col("q"))).alias(f"__{c}") for c in columns])
+
+
 def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Columns cut off at their exact global percentiles; nulls stay."""
-    cuts = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(cuts))
+    out = df.crossJoin(F.broadcast(_cuts(df, columns, low, high)))
     return out.select(*[F.least(F.greatest(F.col(c), F.col(f"__{c}")[0]), F.col(f"__{c}")[1]).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def cap_outliers(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, upper_only: bool = False) -> DataFrame:
     """Values beyond 1.5 times the range of the two percentiles outside them are replaced by the percentile."""
-    cuts = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("__q"))
-    q, x = F.col("__q"), F.col(column)
+    q, x = F.col(f"__{column}"), F.col(column)
     reach = (q[1] - q[0]) * 1.5
     capped = F.when(x > q[1] + reach, q[1])
     if not upper_only:
         capped = capped.when(x < q[0] - reach, q[0])
-    return df.crossJoin(F.broadcast(cuts)).withColumn(column, capped.otherwise(x)).drop("__q")
+    return df.crossJoin(F.broadcast(_cuts(df, [column], low, high))).withColumn(column, capped.otherwise(x)).drop(f"__{column}")
 
 
 def collapse_rare(df: DataFrame, column: str, least: int, other: str = "Other") -> DataFrame:

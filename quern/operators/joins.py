@@ -119,32 +119,57 @@ def semi_or_unlinked(rows: DataFrame, links: DataFrame, key: str, wanted: Column
 
 
 def best_match(queries: DataFrame, items: DataFrame, query: str, item: str, prefix: int = 3) -> DataFrame:
-    """For each query the item equal to it, else the least one that starts with it, else one that it starts with.
+    """For each query the item equal to it, else the least one that starts with it, else the least one that it starts with.
 
-    Candidates come by an equi-join on the first ``prefix`` letters; null texts match nothing.
+    Candidates come by an equi-join on beginnings: both sides bring theirs of every length up to ``prefix``, and of a pair the
+    shorter text (its length up to ``prefix``) says by which it meets. Null and empty texts match nothing.
     """
-    q = queries.withColumn("__q", F.lower(F.trim(query))).withColumn("__pre", F.substring("__q", 1, prefix))
-    i = items.select(F.col(item).alias("match"), F.lower(F.trim(item)).alias("__i")).where("__i is not null").distinct().withColumn("__pre", F.substring("__i", 1, prefix))
-    pairs = q.join(i, "__pre", "left")
+    starts = lambda c: F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(prefix))), lambda n: F.substring(c, F.lit(1), n))
+    q = queries.withColumn("__q", F.lower(F.trim(query)))
+    i = items.select(F.col(item).alias("match"), F.lower(F.trim(item)).alias("__i")).where("__i <> ''").distinct()
+    pairs = q.where("__q <> ''").withColumn("__pre", F.explode(starts(F.col("__q")))).join(i.withColumn("__pre", F.explode(starts(F.col("__i")))), "__pre")
+    pairs = pairs.where(F.length("__pre") == F.least(F.length("__q"), F.length("__i"), F.lit(prefix)))
     rank = F.when(F.col("__i") == F.col("__q"), 0).when(F.startswith("__i", "__q"), 1).when(F.startswith("__q", "__i"), 2)
-    best = pairs.groupBy(*queries.columns).agg(F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col("match")))).alias("__b"))
-    return best.select(*queries.columns, F.col("__b.match").alias("match"), F.col("__b.rank").alias("match_rank"))
+    best = pairs.where(rank.isNotNull()).groupBy(F.col("__q").alias("__bq")).agg(F.min(F.struct(rank.alias("rank"), F.col("match"))).alias("__b"))
+    out = q.join(best, F.col("__q") == F.col("__bq"), "left")
+    return out.select(*queries.columns, F.col("__b.match").alias("match"), F.col("__b.rank").alias("match_rank"))
 
 
-def substring_match(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of distinct texts of which one contains the other, letter case aside.
+def substring_match(left: DataFrame, right: DataFrame, a: str, b: str, gram: int = 3) -> DataFrame:
+    """Pairs of distinct texts of which one contains the other, letter case aside, also within words.
 
-    A text contained whole words and all shares its rarest word with the other, so candidates come by an equi-join on words: of each text of a
-    pair the one that is contained brings one word, the other all of its. Matches that cut words are not found.
+    A text contained shares all its runs of ``gram`` letters with the other, so of each pair the one that is contained brings its rarest run (or all of itself,
+    if it is shorter) and the other brings all of its runs of that length to an equi-join. Null and empty texts match nothing.
     """
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    l = left.select(F.col(a).alias("__a")).where("__a is not null").distinct().withColumn("__w", words(F.col("__a")))
-    r = right.select(F.col(b).alias("__b")).where("__b is not null").distinct().withColumn("__w", words(F.col("__b")))
-    every = l.select(F.explode("__w").alias("w")).unionByName(r.select(F.explode("__w").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - F.lit(n - 1)), lambda i: F.substring(c, i, F.lit(n))))
+
+    def grams(df, key, low):
+        out = [F.when(F.length(low) >= n, runs(F.col(low), n)).otherwise(F.array().cast("array<string>")) for n in range(1, gram + 1)]
+        return df.select(key, F.explode(F.flatten(F.array(*out))).alias("g"))
+
+    l = left.select(F.col(a).alias("__a"), F.lower(a).alias("__low")).where("__a <> ''").distinct()
+    r = right.select(F.col(b).alias("__b"), F.lower(b).alias("__low")).where("__b <> ''").distinct()
+    of_l, of_r = grams(l, "__a", "__low"), grams(r, "__b", "__low")
+    every = of_l.select("g").unionByName(of_r.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
 
     def rarest(df, key):
-        return df.select(key, F.explode("__w").alias("w")).join(every, "w").groupBy(key).agg(F.min_by("w", F.struct("n", "w")).alias("w"))
+        longest = df.where(F.length("g") == F.least(F.length(key), F.lit(gram)))
+        return longest.join(every, "g").groupBy(key).agg(F.min_by("g", F.struct("n", "g")).alias("g"))
 
-    inside = rarest(l, "__a").join(r.select("__b", F.explode("__w").alias("w")), "w").where(F.contains(F.lower("__b"), F.lower("__a")))
-    around = rarest(r, "__b").join(l.select("__a", F.explode("__w").alias("w")), "w").where(F.contains(F.lower("__a"), F.lower("__b")))
+    inside = rarest(of_l, "__a").join(of_r, "g").where(F.contains(F.lower("__b"), F.lower("__a")))
+    around = rarest(of_r, "__b").join(of_l, "g").where(F.contains(F.lower("__a"), F.lower("__b")))
     return inside.select(F.col("__a").alias(a), F.col("__b").alias(b)).unionByName(around.select(F.col("__a").alias(a), F.col("__b").alias(b))).distinct()
+
+
+def inherit_scored(replies: DataFrame, resolved: DataFrame, key: str, parent: str, at: str, short: str, score: str, decay: float = 0.7, short_penalty: float = 0.5, most_hours: float = 72.0) -> DataFrame:
+    """:func:`inherit_from_parent` with the parent's ``score`` times ``decay``, and times ``short_penalty`` for short replies, rounded to 4 digits."""
+    got = inherit_from_parent(replies, resolved, key, parent, at, short, most_hours)
+    factor = F.when(F.col("__s"), decay * short_penalty).otherwise(decay)
+    return got.join(replies.select(F.col(key), F.col(short).alias("__s")), key).withColumn(score, F.round(F.col(score) * factor, 4)).drop("__s")
+
+
+def ranked_winner(hits: DataFrame, key: str, score: str, margin: float = 0.12) -> DataFrame:
+    """The best hit of each key if it is the only one or leads the second by ``margin``; the other columns are those of the hit, ``lead`` is null for a single one."""
+    w = Window.partitionBy(key).orderBy(F.desc(score), *[c for c in hits.columns if c not in (key, score)])
+    out = hits.withColumn("__n", F.row_number().over(w)).withColumn("lead", F.col(score) - F.lead(score).over(w)).where("__n = 1")
+    return out.where(F.col("lead").isNull() | (F.col("lead") >= margin)).drop("__n")

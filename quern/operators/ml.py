@@ -197,3 +197,75 @@ def multinomial(df: DataFrame, features: list[str], label: str) -> list[tuple[in
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=[*features, label]))
     m = LogisticRegression(labelCol=label, family="multinomial", maxIter=100).fit(rows)
     return [(c, t, float(v)) for c in range(m.numClasses) for t, v in [("const", m.interceptVector[c]), *((f, m.coefficientMatrix[c, i]) for i, f in enumerate(features))]]
+
+
+def line_folds(df: DataFrame, x: str, y: str, fold: str) -> DataFrame:
+    """(fold, n, rmse, r2): a line fitted on all other folds and tested on each, from one pass of sums a fold; no row is read twice."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(fold).isNotNull())
+    terms = {"n": F.lit(1.0), "x": F.col(x), "y": F.col(y), "xx": F.col(x) * F.col(x), "xy": F.col(x) * F.col(y), "yy": F.col(y) * F.col(y)}
+    sums = rows.groupBy(fold).agg(*[F.sum(v).alias(k) for k, v in terms.items()])
+    whole = Window.partitionBy()  # a row a fold
+    rest = sums.select("*", *[(F.sum(k).over(whole) - F.col(k)).alias(f"o{k}") for k in terms])
+    b = (F.col("on") * F.col("oxy") - F.col("ox") * F.col("oy")) / (F.col("on") * F.col("oxx") - F.col("ox") * F.col("ox"))
+    rest = rest.withColumn("b", b).withColumn("a", (F.col("oy") - F.col("b") * F.col("ox")) / F.col("on"))
+    a, b = F.col("a"), F.col("b")
+    error = F.col("yy") - 2 * a * F.col("y") - 2 * b * F.col("xy") + F.col("n") * a * a + 2 * a * b * F.col("x") + b * b * F.col("xx")
+    return rest.select(fold, F.col("n").cast("bigint").alias("n"), F.sqrt(error / F.col("n")).alias("rmse"), (1 - error / (F.col("yy") - F.col("y") * F.col("y") / F.col("n"))).alias("r2"))
+
+
+def ridge(df: DataFrame, features: list[str], y: str, alpha: float = 1.0) -> list[tuple[str, float]]:
+    """(term, coefficient) of least squares with ``alpha`` times the squared coefficients as penalty; the constant is not penalised. One pass of sums."""
+    import numpy as np
+
+    cols = [*features, y]
+    rows = df.dropna(subset=cols)
+    k = len(features)
+    r = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols], *[F.covar_pop(F.col(a), F.col(b)) for i, a in enumerate(cols) for b in cols[i:]]).first()
+    n, means, m = r[0], np.array(r[1 : k + 2], float), np.zeros((k + 1, k + 1))
+    m[np.triu_indices(k + 1)] = r[k + 2 :]
+    m = (m + np.triu(m, 1).T) * n
+    b = np.linalg.solve(m[:k, :k] + alpha * np.eye(k), m[:k, k])
+    return [*zip(features, map(float, b)), ("const", float(means[k] - b @ means[:k]))]
+
+
+def importances(df: DataFrame, features: list[str], label: str, trees: int = 30, seed: int = 1) -> list[tuple[str, float]]:
+    """(feature, percent) by the impurity that a forest's splits on it remove, the largest first."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=[*features, label]))
+    m = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=5, minInstancesPerNode=10, seed=seed).fit(rows)
+    values = m.featureImportances.toArray()
+    return sorted(((f, float(100 * v / (values.sum() or 1))) for f, v in zip(features, values)), key=lambda x: -x[1])
+
+
+def cluster_scores(df: DataFrame, features: list[str], ks: list[int], seed: int = 1) -> list[tuple[str, float]]:
+    """Silhouette (squared distances) and Davies-Bouldin index of k-means for each k; both from sums over the clusters."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    import numpy as np
+
+    x = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=features))
+    out = []
+    for k in ks:
+        m = KMeans(k=k, seed=seed).fit(x)
+        got = m.transform(x)
+        centres = np.array(m.clusterCenters())
+        own = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])[F.col("prediction")]
+        far = F.sqrt(F.aggregate(F.zip_with(vector_to_array("features"), own, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+        spread = {r["prediction"]: r["s"] for r in got.groupBy("prediction").agg(F.avg(far).alias("s")).collect()}
+        ratio = [max((spread[i] + spread[j]) / np.linalg.norm(centres[i] - centres[j]) for j in spread if j != i) for i in spread] if len(spread) > 1 else [0.0]
+        out += [(f"silhouette_{k}", ClusteringEvaluator().evaluate(got)), (f"davies_bouldin_{k}", float(np.mean(ratio)))]
+    return out
+
+
+def word_vectors(texts: DataFrame, key: str, tokens: Column, size: int = 100, window: int = 5, least: int = 2, epochs: int = 30, seed: int = 42) -> DataFrame:
+    """(key, vector): the mean of a text's word vectors (skip-gram), zeros where none of its words is in the vocabulary; null texts have none."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    rows = texts.select(F.col(key), tokens.alias("__t")).where("__t is not null")
+    m = Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=epochs, seed=seed, inputCol="__t", outputCol="__v").fit(rows)
+    return m.transform(rows).select(key, vector_to_array("__v").alias("vector"))

@@ -42,20 +42,29 @@ def index_sequences(texts: DataFrame, key: str, text: str, vocab: DataFrame, len
     return seq.select(key, F.concat(ids, F.array_repeat(F.lit(0), F.col("__n") - F.size("__s"))).alias("seq"))
 
 
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
 
-def nearest(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int, block: int = 20_000) -> DataFrame:
     """(query, key, similarity, place): the k items most similar to each query of a stated, small query set, ties by key.
 
-    The queries are broadcast once their number is checked (more are joined in blocks by their hash); items are read once and never shuffled as vectors, only
-    the best k of each partition travel.
+    Queries are broadcast in blocks of about ``block`` by their hash, each a pass over the items; items are never shuffled as vectors. Of every partition only the
+    best k for each query travel.
     """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__qv"))
-    pairs = items.select(F.col(key), F.col(vector).alias("__v")).join(checked_broadcast(q, 20_000), F.col(key) != F.col("query"))
-    scored = pairs.select("query", key, cosine(F.col("__qv"), F.col("__v")).alias("similarity"))
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__qv"), F.sqrt(_dot(F.col(vector), F.col(vector))).alias("__qn"))
+    v = items.select(F.col(key), F.col(vector).alias("__v"), F.sqrt(_dot(F.col(vector), F.col(vector))).alias("__vn"))
+    blocks = -(-queries.count() // block) or 1
+    scored = None
+    for i in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
+        pairs = v.join(F.broadcast(part), F.col(key) != F.col("query"))
+        one = pairs.select("query", key, F.try_divide(_dot(F.col("__qv"), F.col("__v")), F.col("__qn") * F.col("__vn")).alias("similarity"))
+        scored = one if scored is None else scored.unionByName(one)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import values as V
-from quern.functions.text import is_short_low_info
+from quern.functions.text import says_little
 from quern.operators import aggregates as A
 from quern.operators import joins as J
 from quern.operators import upsert as U
@@ -85,7 +85,7 @@ def three_way_concat(spark, d):
 def _inherited(spark, d, instants=None):
     m = table(spark, d, "messages", "id", "channel", "parent_id", "text").dropDuplicates(["id", "channel"])
     key = lambda i: F.concat("channel", F.lit(":"), F.col(i).cast("string"))
-    replies = m.select(key("id").alias("k"), key("parent_id").alias("p"), is_short_low_info(F.col("text")).alias("short"))
+    replies = m.select(key("id").alias("k"), key("parent_id").alias("p"), says_little(F.col("text")).alias("short"))
     own = table(spark, d, "telegram_matches", "source_key", "issuer", "entity_level", "match_origin").where("match_origin = 'explicit'").select(F.col("source_key").alias("k"), F.col("entity_level").alias("level"), "issuer").distinct()
     dated = lambda rows: rows.join(instants, "k", "left") if instants is not None else rows.withColumn("at", F.lit(None).cast("timestamp"))
     return J.inherit_from_parent(dated(replies), dated(own), "k", "p", "at", "short").select("k", "anchor", "issuer", "level")

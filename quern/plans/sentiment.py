@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators.aggregates import sentiment_metrics
+from quern.operators.aggregates import exact_percentiles, sentiment_metrics
 from quern.operators.joins import interval_join
 from quern.operators.upsert import first_by_key
 from quern.sources.tables import table
@@ -16,7 +16,7 @@ BUCKET = 86_400
 def _messages(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value")
     m = e.where("event_type <> 'purchase'")
-    cut = e.agg(F.median("value").alias("mid"))
+    cut = exact_percentiles(e, ["value"], [0.5]).select(F.col("q")[0].alias("mid"))
     sign = F.signum(F.col("value") - F.col("mid"))
     m = m.crossJoin(F.broadcast(cut))
     return m.select("event_id", "ts", "user_id", (F.col("event_type") != "error").alias("relevant"), F.when(sign > 0, "positive").when(sign < 0, "negative").otherwise("neutral").alias("sentiment"), F.col("value").alias("weight"), (F.col("value") / 100).alias("score"))

@@ -13,11 +13,7 @@ from quern.sources.tables import table
 
 def normalize_text(spark, d):
     m = table(spark, d, "comments", "comment_id", "text").distinct()
-    return m.select("comment_id", T.normalize_match_text(F.col("text")).alias("norm"), F.size(T.tokens(T.normalize_match_text(F.col("text")))).cast("bigint").alias("tokens"), T.is_short_low_info(F.col("text")).alias("short"))
-
-
-def clean_posts(spark, d):
-    return table(spark, d, "comments", "comment_id", "text").distinct().select("comment_id", T.clean_post(F.col("text")).alias("clean"))
+    return m.select("comment_id", T.normalize_match_text(F.col("text")).alias("norm"), F.size(T.tokens(T.normalize_match_text(F.col("text")))).cast("bigint").alias("tokens"), T.says_little(F.col("text")).alias("short"))
 
 
 def bigram_counts(spark, d):
@@ -133,7 +129,7 @@ def snippets(spark, d):
     return p.where(T.near_context(F.col("text"), "купон", "оферт")).select("post_id", T.snippet(F.col("text"), "купон").alias("snippet"))
 
 
-_NAMES = "normalize_text clean_posts bigram_counts keyword_flags text_length_filter range_upper_bound comma_decimals homoglyph_keys alias_hits alias_resolution alias_ambiguity issuer_rows_suppressed alias_mining tfidf token_vocabulary index_sequences cosine_topk knn_majority chunked_documents corpus_scan snippets"
+_NAMES = "normalize_text bigram_counts keyword_flags text_length_filter range_upper_bound comma_decimals homoglyph_keys alias_hits alias_resolution alias_ambiguity issuer_rows_suppressed alias_mining tfidf token_vocabulary index_sequences cosine_topk knn_majority chunked_documents corpus_scan snippets"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _NORM = "trim(regexp_replace(translate(lower(coalesce(text, '')), 'ё—–', 'е--'), '[^a-zа-я0-9.-]+', ' ', 'g'))"

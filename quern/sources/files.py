@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",") -> DataFrame:
-    """Files of separated values with a header, by glob; quoted line breaks are kept. Without a schema types are inferred in a pass of their own."""
-    r = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",", broken_lines: bool = True) -> DataFrame:
+    """Files of separated values with a header, by glob. Without a schema types are inferred in a pass of their own.
+
+    Line breaks in quotes are kept, for which a file is read by one task; without ``broken_lines`` large files are split between tasks.
+    """
+    r = spark.read.option("header", True).option("sep", sep).option("multiLine", broken_lines).option("escape", '"')
     return (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path)
 
 

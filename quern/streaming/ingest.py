@@ -39,20 +39,24 @@ def replies_within(replies: DataFrame, parents: DataFrame, reply_key: str, paren
 
 
 def upsert_sink(path: str, keys: list[str], merge: Callable[[DataFrame, DataFrame, list[str]], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that merges each batch into a new version of a parquet table: a rerun of a batch writes the same version."""
+    """A foreachBatch writer that merges each batch into a new version of a parquet table: a rerun of a batch writes the same version.
+
+    A batch other than the first needs the version before it: one that can't be read is an error, so that the table is never begun anew over a failure.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/v={number - 1}") if number else None
-        except Exception:  # noqa: BLE001 - no version before the first batch
-            old = None
-        rows = batch if old is None else merge(old, batch, keys)
+        rows = merge(batch.sparkSession.read.parquet(f"{path}/v={number - 1}"), batch, keys) if number else batch
         rows.write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return write
 
 
+def within_range(stream: DataFrame, at: str, first: str, last: str, delay: str) -> DataFrame:
+    """Rows from ``first`` up to, not including, ``last``, and not later than the watermark allows."""
+    t = F.col(at)
+    return stream.withWatermark(at, delay).where((t >= F.lit(first).cast("timestamp")) & (t < F.lit(last).cast("timestamp")))
+
+
 def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None] | None = None, name: str = "out", mode: str = "append") -> None:
     """Process what is there and stop: into a table in memory (tests, small results) or by ``write`` batch by batch."""
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -152,7 +152,7 @@ def test_functions(spark):
     assert rows[0]["b"]["first"] == datetime(2024, 2, 1, 9, 30) and rows[0]["b"]["last"] == datetime(2024, 2, 3) and rows[1]["b"]["last"] == datetime(2023, 6, 5)
     t = spark.createDataFrame([("Ёлка — «ОФЗ 26.2»!",), ("ок",), ("",), (None,)], "t string")
     assert [r[0] for r in t.select(T.normalize_match_text(F.col("t"))).collect()] == ["елка - офз 26.2", "ок", "", ""]
-    assert [r[0] for r in t.select(T.is_short_low_info(F.col("t"))).collect()] == [False, True, True, True]
+    assert [r[0] for r in t.select(T.says_little(F.col("t"))).collect()] == [False, True, True, True]
     html = spark.createDataFrame([("<p>a&nbsp;&amp;<b>b</b></p><script>x</script>",)], "h string")
     assert html.select(T.strip_html(F.col("h"))).first()[0] == "a & b"
     y = spark.createDataFrame([(0,), (-4,), (1900,), (2000,)], "y int")
