@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from quern.scale import checked_broadcast, materialize
 
-#: Ranges of the shuffled order per source, and of finish times overall.
-ORDER_BUCKETS, TIME_BUCKETS = 4096, 65_536
+#: Ranges of the shuffled order per source; ranges of finish time, coarse and then fine ones within a coarse one: as many sums at most come to the driver.
+ORDER_BUCKETS, TIME_BUCKETS = 512, 256
 
 
 def _encoding(path: str):
@@ -76,28 +76,34 @@ def fair_mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, se
     if budget is None:
         budget = sum(r["__all"] for r in stats)
     cut = _virtual_time([(r["__all"] * r["cap"], r["share"]) for r in stats], budget)
-    width = max(cut, 1e-9) * 1.0001 / TIME_BUCKETS
+    width = max(cut, 1e-9) * 1.0001 / TIME_BUCKETS**2
     most = max([r["cap"] for r in stats], default=1)
     copies = rows.join(F.broadcast(totals.select("source", "__all")), "source").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.least(F.col("cap"), F.lit(most)).cast("int"))))
     copies = copies.withColumn("finish", (F.col("__upto") + (F.col("copy_no") - 1) * F.col("__all")) / F.col("share"))
     # one document a source may end behind the cut and still fit
     longest = rows.agg(F.max(F.col("tokens") / F.col("share"))).first()[0] or 0.0
-    copies = copies.where(F.col("finish") <= cut + 2 * longest).withColumn("__time", F.floor(F.col("finish") / width).cast("bigint"))
-    edges = copies.groupBy("__time").agg(F.sum("tokens").alias("n")).orderBy("__time").collect()  # at most about TIME_BUCKETS rows, plus the few behind the cut
-    full, edge = 0, None
-    for r in edges:
-        if full + r["n"] > budget:
-            edge = r["__time"]
-            break
-        full += r["n"]
+    time = F.least(F.floor(F.col("finish") / width), F.lit(2 * TIME_BUCKETS**2)).cast("bigint")
+    copies = copies.where(F.col("finish") <= cut + 2 * longest).withColumn("__time", time).withColumn("__coarse", F.floor(F.col("__time") / TIME_BUCKETS))
+    full, edge = _first_over(copies, "__coarse", 0, budget)
     taken = copies
     if edge is not None:
+        within = copies.where(F.col("__coarse") == edge)
+        full, fine = _first_over(within, "__time", full, budget)
         inner = Window.partitionBy("__time").orderBy("finish", "source", "doc_id", "copy_no").rowsBetween(Window.unboundedPreceding, 0)
-        rim = copies.where(F.col("__time") == edge).withColumn("__sum", F.sum("tokens").over(inner)).where(F.col("__sum") <= budget - full).drop("__sum")
-        taken = copies.where(F.col("__time") < edge).unionByName(rim)
+        rim = within.where(F.col("__time") == fine).withColumn("__sum", F.sum("tokens").over(inner)).where(F.col("__sum") <= budget - full).drop("__sum")
+        taken = copies.where(F.col("__coarse") < edge).unionByName(within.where(F.col("__time") < fine)).unionByName(rim)
     return taken.select("source", "doc_id", "copy_no", "tokens", "finish").orderBy("finish", "source", "doc_id", "copy_no")
 
 
+def _first_over(copies: DataFrame, ranges: str, full: int, budget: int) -> tuple[int, int | None]:
+    """(tokens before it, number) of the first range that ends over the budget, ``full`` tokens being taken already; None if there is none."""
+    for r in copies.groupBy(ranges).agg(F.sum("tokens").alias("n")).orderBy(ranges).collect():
+        if full + r["n"] > budget:
+            return full, r[ranges]
+        full += r["n"]
+    return full, None
+
+
 def _virtual_time(sources: list[tuple[float, float]], budget: float) -> float:
     """The time at which sources of the given (capacity, share) have put out ``budget`` together, or all they have."""
     at, left = 0.0, float(budget)
