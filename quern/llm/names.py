@@ -4,7 +4,7 @@ Every name is rewritten to canonical forms: one script (letters that look alike,
 in the wrong keyboard layout become Cyrillic), no legal form, words in any order, joined, abbreviated, inflected or with a
 diminutive ending. For typing errors both sides also give their forms with up to two letters left out. The forms are exploded and
 equi-joined; a link scores by the rarity of the form it came by (the fewer organisations share a form the more it
-says) less the cost of the rewriting, and a tie between organisations links to none.
+says) less the cost of the rewriting. A spelling that several organisations reach with the same score is linked to each of them and counts its ties.
 """
 
 from __future__ import annotations
@@ -42,8 +42,16 @@ MOST_EDITS, LEAST_ONE, LEAST_TWO = 2, 6, 8
 COST_WEIGHT = 1.0
 #: A rewriting that costs more (with its edits) is no evidence.
 MOST_COST = 3.4
-#: Windows of a text up to so many words are tried as a name.
+#: Windows of a text up to so many words (more, if a registered name has more) are tried as a name.
 MOST_WORDS = 6
+#: Least length of a form without another: up to it only forms that are a whole name count, and only as they are. From LONG on typing errors are sought by halves.
+LEAST_FORM, LONG, OVERLAP = 5, 32, 3
+#: Names of more words are reordered by sorting them instead of by all permutations.
+MOST_PERMUTED = 4
+#: Bytes of keyed forms that may be broadcast (a form of the register is about 40 bytes a key).
+FORM_BYTES = 128 << 20
+#: Names of the register held in memory at once; a larger one is taken in parts by issuer.
+REGISTER_NAMES = 100_000
 
 
 def plain(name: str) -> str:
@@ -78,6 +86,36 @@ def deletions(form: str) -> Iterator[str]:
             yield "".join(form[a + 1 : b] for a, b in zip((-1, *drop), (*drop, n)))
 
 
+def _one_left_out(form: str) -> Iterator[str]:
+    yield form
+    for i in range(len(form)):
+        yield form[:i] + form[i + 1 :]
+
+
+def keys_of(form: str, asked: bool) -> Iterator[str]:
+    """Keys of which two forms at most MOST_EDITS apart (as their lengths allow) share one: ``asked`` for a spelling, else of the register.
+
+    Forms up to LONG letters meet by their deletions. Longer ones, whose deletions would grow as the square of the length, meet by halves: of two edits
+    one half of the registered form has one at most (a swap over the middle is one in each half), so a half with up to one letter left out
+    equals a beginning or end of the spelling, of about that length, with up to one left out.
+    """
+    n = len(form)
+    if n <= LONG:
+        yield from deletions(form)
+    if n > LONG - OVERLAP:
+        if asked:
+            for m in range((n - MOST_EDITS) // 2 - 1, (n + MOST_EDITS + 1) // 2 + 2):
+                for k in _one_left_out(form[:m]):
+                    yield f"<{k}"
+                for k in _one_left_out(form[n - m :]):
+                    yield f">{k}"
+        else:
+            for k in _one_left_out(form[: n // 2]):
+                yield f"<{k}"
+            for k in _one_left_out(form[n // 2 :]):
+                yield f">{k}"
+
+
 def word_keys(word: str) -> Iterator[str]:
     """``word`` with up to one letter left out, from seven letters on up to two."""
     yield word
@@ -124,16 +162,16 @@ def register_forms(core: list[str], head: int) -> dict[str, tuple[float, bool]]:
     raw, core = core, [squeeze(w) for w in core]
     out: dict[str, tuple[float, bool]] = {}
 
-    def put(parts, cost, editable=False):
+    def put(parts, cost, editable=False, whole=False):
         form = squeeze("".join(parts))
-        if len(form) >= 5 and (form not in out or cost < out[form][0]):
+        if form and (whole or len(form) >= LEAST_FORM) and (form not in out or cost < out[form][0]):
             out[form] = cost, editable or (form in out and out[form][1])
 
-    for order in permutations(raw) if len(raw) <= 4 else [tuple(raw)]:
+    # of a longer name the words in alphabetical order stand for every order; spellings are sorted likewise
+    for order in permutations(raw) if len(raw) <= MOST_PERMUTED else [tuple(raw), tuple(sorted(raw))]:
         cost = 0.0 if list(order) == raw else 0.5
-        put(order, cost, True)
-        if len(form := "".join(order)) >= 5:
-            out.setdefault(form, (cost, True))
+        put(order, cost, True, True)
+        out.setdefault("".join(order), (cost, True))
     for i, w in enumerate(core):
         for end in CASE_ENDINGS:
             for cut in (0, 1):
@@ -189,19 +227,22 @@ def name_words(name: str, known: frozenset[str]) -> list[str]:
 
 
 class Register:
-    """The registered names as canonical forms; small (its size is that of the register, not of the data)."""
+    """Registered names as canonical forms: a reference table, or a part of one, of at most about REGISTER_NAMES names."""
 
     def __init__(self, rows: list[tuple[str, str]]):
         self.listed: dict[str, set[str]] = {}
         cores: dict[str, set[tuple[str, ...]]] = {}
+        self.codes: list[tuple[str, str]] = []  # tickers: only as they are
         for issuer, alias in rows:
             for name in (issuer, alias):
                 if not name:
                     continue
                 self.listed.setdefault(issuer, set()).add(plain(name))
                 core = tuple(script(w) for w in _WORD.findall(name.lower().replace("ё", "е")) if w not in LEGAL)
-                if core and not (len(core) == 1 and name.isupper() and len(name) <= 6):
-                    cores.setdefault(issuer, set()).add(core)
+                if len(core) == 1 and name.isupper() and len(name) <= 6:
+                    self.codes.append((issuer, squeeze(core[0])))
+                elif any(core):
+                    cores.setdefault(issuer, set()).add(tuple(filter(None, core)))
         owners: dict[str, set[str]] = {}
         for issuer, names in cores.items():
             for w in {w for core in names for w in core}:
@@ -216,9 +257,10 @@ class Register:
         self.heads = frozenset(heads)
         self.near = frozenset(k for w in words for k in word_keys(w))
         self.parts = frozenset(x for w in words for x, _ in _stems(w))
+        self.longest = max((len(core) for _, core, _ in self.cores), default=0)
 
     def forms(self, spark: SparkSession) -> DataFrame:
-        """(key, registered, issuer, cost, rarity): the keys of all forms; those of editable forms include them with letters left out."""
+        """(registered, issuer, cost, editable): all forms of the names."""
         names = spark.createDataFrame(self.cores, "issuer string, core array<string>, head int").repartition(spark.sparkContext.defaultParallelism)
 
         def rewrite(batches):
@@ -226,15 +268,22 @@ class Register:
                 rows = [(f, i, c, e) for i, core, h in zip(*(b.column(c).to_pylist() for c in ("issuer", "core", "head"))) for f, (c, e) in register_forms(core, h).items()]
                 yield _batch(rows, _FORM)
 
-        def keys(batches):
-            for b in batches:
-                cells = zip(*(b.column(c).to_pylist() for c in ("registered", "issuer", "cost", "editable", "rarity")))
-                yield _batch([(key_of(k), f, i, c, r) for f, i, c, e, r in cells for k in (set(deletions(f)) if e else (f,))], _KEYED)
+        codes = spark.createDataFrame([(f, i, 0.0, False) for i, f in self.codes], "registered string, issuer string, cost double, editable boolean")
+        return names.mapInArrow(rewrite, "registered string, issuer string, cost double, editable boolean").unionByName(codes)
+
+
+def keyed_forms(forms: DataFrame, organisations: int) -> DataFrame:
+    """(key, registered, issuer, cost, rarity): the keys of all forms; those of editable forms include them with letters left out."""
+
+    def keys(batches):
+        for b in batches:
+            cells = zip(*(b.column(c).to_pylist() for c in ("registered", "issuer", "cost", "editable", "rarity")))
+            yield _batch([(key_of(k), f, i, c, r) for f, i, c, e, r in cells for k in (set(keys_of(f, False)) if e else (f,))], _KEYED)
 
-        forms = names.mapInArrow(rewrite, "registered string, issuer string, cost double, editable boolean").groupBy("registered", "issuer").agg(F.min("cost").alias("cost"), F.max("editable").alias("editable"))
-        owners = F.count(F.lit(1)).over(Window.partitionBy("registered"))
-        forms = forms.withColumn("rarity", F.log(F.lit(float(max(1, len(self.listed)))) / owners) + 1)
-        return forms.mapInArrow(keys, "key bigint, registered string, issuer string, cost double, rarity double")
+    forms = forms.groupBy("registered", "issuer").agg(F.min("cost").alias("cost"), F.max("editable").alias("editable"))
+    owners = F.count(F.lit(1)).over(Window.partitionBy("registered"))
+    forms = forms.withColumn("rarity", F.log(F.lit(float(max(1, organisations))) / owners) + 1)
+    return forms.mapInArrow(keys, "key bigint, registered string, issuer string, cost double, rarity double")
 
 
 _FORM = pa.schema([("registered", pa.string()), ("issuer", pa.string()), ("cost", pa.float64()), ("editable", pa.bool_())])
@@ -250,17 +299,20 @@ def key_of(form: str) -> int:
     return xxhash.xxh3_64_intdigest(form) - (1 << 63)
 
 
-def _explode_forms(batches, known: frozenset[str]):
-    """name -> (name, form, key): keys of the folded name without legal forms, whole and with letters left out."""
+def _explode_forms(batches, known: frozenset[str], longest: int):
+    """name -> (name, form, key): keys of the folded name without legal forms, whole and with letters left out. Forms over ``longest`` letters equal none."""
     schema = pa.schema([("name", pa.string()), ("form", pa.string()), ("key", pa.int64())])
     for b in batches:
         out = []
         for name in b.column("name").to_pylist():
             w = [x for x in name_words(name, known) if x not in LEGAL]
             raw = "".join(script(x) for x in w)
-            for form in {raw, squeeze(raw)}:
-                if 5 <= len(form) <= 60:
-                    out += [(name, form, key_of(key)) for key in set(deletions(form))]
+            forms = {raw, squeeze(raw)}
+            if len(w) > MOST_PERMUTED:
+                ordered = "".join(sorted(script(x) for x in w))
+                forms |= {ordered, squeeze(ordered)}
+            for form in (f for f in forms if 0 < len(f) <= longest):
+                out += [(name, form, key_of(key)) for key in {form, *keys_of(form, True)}]
             if len(out) > 20_000:
                 yield _batch(out, schema)
                 out = []
@@ -273,31 +325,35 @@ def _distances(batches):
         yield pa.record_batch([*b.columns, pa.array(d, pa.int32())], names=[*b.schema.names, "edits"])
 
 
-def link_names(names: DataFrame, register: Register) -> DataFrame:
-    """(name, issuer, registered, score): each distinct non-null ``name`` that links to one organisation.
+def link_names(names: DataFrame, registers: list[Register]) -> DataFrame:
+    """(name, issuer, registered, score, ties): each distinct non-null ``name`` with the organisation it links to.
 
-    ``registered`` is the form of the register by which it links. Names of less than five letters, and such that two
-    organisations reach with the same score, link to none.
+    ``registered`` is the form of the register by which it links. A name that several organisations reach with the same best score has a row
+    for each, ``ties`` being their number. Names of less than five letters link only to a name or ticker with the same letters.
     """
     spark = names.sparkSession
-    forms = materialize(register.forms(spark), "forms")
+    known = frozenset().union(*(r.known for r in registers))
+    forms = functools.reduce(DataFrame.unionByName, (r.forms(spark) for r in registers))
+    forms = materialize(keyed_forms(forms, len({i for r in registers for i in r.listed})), "forms")
+    longest = (forms.agg(F.max(F.length("registered"))).first()[0] or 0) + MOST_EDITS
     # the names are few bytes but each is hundreds of keys: spread by number, which adaptive execution leaves alone, and by
     # another expression than distinct() has used, or the exchange is optimised away
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    exploded = names.where("name is not null").select("name").distinct().repartition(parts, F.xxhash64("name")).mapInArrow(functools.partial(_explode_forms, known=register.known), "name string, form string, key bigint")
-    hits = exploded.join(checked_broadcast(forms, 2_000_000), "key").groupBy("name", "form", "registered", "issuer").agg(F.min("cost").alias("cost"), F.max("rarity").alias("rarity"))
+    exploded = names.where("name is not null").select("name").distinct().repartition(parts, F.xxhash64("name")).mapInArrow(functools.partial(_explode_forms, known=known, longest=longest), "name string, form string, key bigint")
+    hits = exploded.join(checked_broadcast(forms, 2_000_000, FORM_BYTES), "key").groupBy("name", "form", "registered", "issuer").agg(F.min("cost").alias("cost"), F.max("rarity").alias("rarity"))
     hits = hits.mapInArrow(_distances, "name string, form string, registered string, issuer string, cost double, rarity double, edits int")
     allowed = F.when(F.length("registered") < LEAST_ONE, 0).when(F.length("registered") < LEAST_TWO, 1).otherwise(MOST_EDITS)
     hits = hits.where((F.col("edits") <= allowed) & (F.col("cost") + F.col("edits") <= MOST_COST)).withColumn("score", F.round(F.col("rarity") - COST_WEIGHT * (F.col("cost") + F.col("edits")), 6))
     best = hits.groupBy("name", "issuer").agg(F.max(F.struct("score", "registered")).alias("x"))
-    order = Window.partitionBy("name").orderBy(F.desc("x.score"))
-    best = best.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("x.score").over(order))
-    return best.where("place = 1 and (next is null or next < x.score)").select("name", "issuer", F.col("x.registered").alias("registered"), F.col("x.score").alias("score"))
+    whole = Window.partitionBy("name")
+    best = best.withColumn("top", F.max("x.score").over(whole)).where("x.score = top").withColumn("ties", F.count(F.lit(1)).over(whole))
+    return best.select("name", "issuer", F.col("x.registered").alias("registered"), F.col("x.score").alias("score"), "ties")
 
 
 def _windows(batches, register: Register):
     """(row_key, anchor, name, core): windows of the words of a text that may hold a registered name."""
     main, known, beginnings = register.main, register.known, register.beginnings
+    most, reach = max(MOST_WORDS, register.longest + 1), max(4, register.longest)
     held: dict[str, tuple[str, float]] = {}
     read: dict[str, str] = {}
 
@@ -343,12 +399,12 @@ def _windows(batches, register: Register):
                 broken = not whole and f in beginnings and i + 1 < n and found[i + 1][1] - end <= 3 and look(found[i + 1][0])[0] not in register.heads and grams_held(squeeze(f + look(found[i + 1][0])[0]), main) >= 0.6
                 if not whole and not broken:
                     continue
-                for a in range(i, max(-1, i - 4), -1):
+                for a in range(i, max(-1, i - reach), -1):
                     if not fit(found[a][0]):
                         break
                     if a < i and len(found[a][0]) <= 2:
                         continue
-                    for z in range(i + 1 + broken, min(n, a + MOST_WORDS, i + 5) + 1):
+                    for z in range(i + 1 + broken, min(n, a + most, i + reach + 1) + 1):
                         # a window does not reach over a sentence or a number
                         inner = low[found[a][1] : found[z - 1][2]]
                         if not fit(found[z - 1][0]):
@@ -367,36 +423,44 @@ def _windows(batches, register: Register):
         yield pa.record_batch([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.string()), pa.array([r[3] for r in out], pa.string())], names=["row_key", "anchor", "name", "written"])
 
 
-def register_of(aliases: DataFrame) -> Register:
-    """The register in memory: (issuer, alias) rows of a reference table, whose size does not follow the data."""
-    return Register([(r["issuer"], r["alias"]) for r in aliases.where("issuer is not null").select("issuer", "alias").distinct().toLocalIterator()])
+def registers_of(aliases: DataFrame, most: int = REGISTER_NAMES) -> list[Register]:
+    """The (issuer, alias) rows of a reference table in memory: counted first, and taken in parts by issuer of about ``most`` names each, none of which is held beside another part's rows."""
+    rows = aliases.where("issuer is not null").select("issuer", "alias").distinct()
+    parts = max(1, -(-rows.count() // most))
+    part = lambda k: rows if parts == 1 else rows.where(F.pmod(F.xxhash64("issuer"), F.lit(parts)) == k)
+    return [Register([(r["issuer"], r["alias"]) for r in part(k).toLocalIterator()]) for k in range(parts)]
 
 
-def link_fields(fields: DataFrame, texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(tbl, row_key, issuer, written, listed): organisations named in ``fields`` (tbl, row_key, name: a name each) and ``texts`` (tbl, row_key, text).
+def link_fields(fields: DataFrame, texts: DataFrame, aliases: DataFrame, most: int = REGISTER_NAMES) -> DataFrame:
+    """(tbl, row_key, issuer, written, listed, ties): organisations named in ``fields`` (tbl, row_key, name: a name each) and ``texts`` (tbl, row_key, text).
 
     ``written`` is the spelling, ``listed`` whether it is one of the organisation's own in the register (letter case,
-    punctuation and ё/е aside); in a text a legal form or a word like 'group' beside a listed spelling is no part of the name. Rows with null keys, names or texts take no part; repeated rows give one row. Names that link to none are left out.
+    punctuation and ё/е aside); in a text a legal form or a word like 'group' beside a listed spelling is no part of the name. ``ties`` is the number of organisations
+    that the spelling may mean, 1 for a link without doubt. Rows with null keys, names or texts take no part; repeated rows give one row.
+    Names that link to none are left out. A register of more than ``most`` names is taken in parts, each a pass over the texts.
     """
     spark = aliases.sparkSession
-    register = register_of(aliases)
-    windows = materialize(
-        texts.where("row_key is not null and text is not null").select(F.concat_ws("\u0001", "tbl", "row_key").alias("row_key"), "text").mapInArrow(functools.partial(_windows, register=register), "row_key string, anchor int, name string, written string"),
-        "windows",
-    )
+    registers = registers_of(aliases, most)
+    keyed = texts.where("row_key is not null and text is not null").select(F.concat_ws("\u0001", "tbl", "row_key").alias("row_key"), "text")
+    found = [keyed.mapInArrow(functools.partial(_windows, register=r), "row_key string, anchor int, name string, written string") for r in registers]
+    windows = functools.reduce(DataFrame.unionByName, found)
+    windows = materialize(windows if len(found) == 1 else windows.distinct(), "windows")
     fields = fields.where("row_key is not null and name is not null").select("tbl", "row_key", "name").distinct()
-    links = materialize(link_names(fields.select("name").unionByName(windows.select("name")), register), "links")
-    own = fields.join(links, "name").select("tbl", "row_key", "issuer", F.col("name").alias("written"), F.col("name").alias("core"))
-    best = Window.partitionBy("row_key", "anchor").orderBy(F.desc(F.length("registered") + 2 * F.col("score")), F.length("written"))
-    inside = windows.join(links, "name").withColumn("place", F.row_number().over(best)).where("place = 1")
+    links = materialize(link_names(fields.select("name").unionByName(windows.select("name")), registers), "links")
+    own = fields.join(links, "name").select("tbl", "row_key", "issuer", F.col("name").alias("written"), F.col("name").alias("core"), "ties")
+    best = Window.partitionBy("row_key", "anchor").orderBy(F.desc(F.length("registered") + 2 * F.col("score")), F.length("written"), "written")
+    inside = windows.join(links, "name").withColumn("place", F.dense_rank().over(best)).where("place = 1")
     parts = F.split("row_key", "\u0001")
-    inside = inside.select(parts[0].alias("tbl"), parts[1].alias("row_key"), "issuer", "written", F.col("name").alias("core"))
-    listed = checked_broadcast(spark.createDataFrame([(i, p) for i, s in register.listed.items() for p in s] or [("", "")], "issuer string, plain string"))
+    inside = inside.select(parts[0].alias("tbl"), parts[1].alias("row_key"), "issuer", "written", F.col("name").alias("core"), "ties")
 
-    def plained(c: str):
+    def plained(c):
         return F.trim(F.regexp_replace(F.translate(F.lower(F.col(c)), "ё", "е"), r"[^\p{L}\p{N}]+", " "))
 
+    held = aliases.where("issuer is not null")
+    listed = held.select("issuer", plained("issuer").alias("plain")).unionByName(held.where("alias is not null").select("issuer", plained("alias").alias("plain"))).distinct()
+    listed = checked_broadcast(materialize(listed, "listed"))
     out = own.unionByName(inside).distinct().withColumn("__w", plained("written")).withColumn("__c", plained("core"))
     for c in ("__w", "__c"):
         out = out.join(listed.select("issuer", F.col("plain").alias(c), F.lit(True).alias(f"{c}_listed")), ["issuer", c], "left")
-    return out.select("tbl", "row_key", "issuer", "written", (F.col("__w_listed").isNotNull() | F.col("__c_listed").isNotNull()).alias("listed")).distinct()
+    out = out.groupBy("tbl", "row_key", "issuer", "written", (F.col("__w_listed").isNotNull() | F.col("__c_listed").isNotNull()).alias("listed")).agg(F.min("ties").alias("ties"))
+    return out.select("tbl", "row_key", "issuer", "written", "listed", "ties")

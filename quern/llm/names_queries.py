@@ -18,7 +18,7 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_links(spark, d).where("not listed").select("tbl", "row_key", "issuer").distinct()
+    return p5_links(spark, d).where("not listed and ties = 1").select("tbl", "row_key", "issuer").distinct()
 
 
 QUERIES = {"p5_found": p5_found, "p5_links": p5_links}

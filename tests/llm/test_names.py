@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm.names import deletions, edit_distance, fold, link_fields, plain, split_layout
+from quern.llm.names import LONG, deletions, edit_distance, fold, keys_of, link_fields, plain, split_layout
 
 ALIASES = [("ПАО «Жемчугоключ»", "Жемчугоключ"), ("ГК Сполохдар Фарм", "Сполохдар Фарм"), ("ГК Сполохдар Фарм", "Spolokhdar Farm"), ("МКПАО Новая Вольнозалив Логистика", "Новая Вольнозалив Логистика"), ("АО «Вольнопорт»", "Вольнопорт"), ("АО «Вольнопорт Транзит»", "Вольнопорт Транзит"), ("ГК Клёнодар", "KLEDA"), (None, "x"), ("ООО Рябиноконтур Финанс", None)]
 VARIANTS = {
@@ -50,3 +50,35 @@ def test_forms():
     known = frozenset(x[i : i + 4] for x in ("сполохдар",) for i in range(6))
     assert split_layout("cgjkj[lfh", known) == "сполохдар" and split_layout("coupon", known) == "coupon"
     assert F is not None
+
+
+def test_short_long_and_reordered_names(spark):
+    long = "Объединённая Северо Западная Нефтехимическая Приборостроительная Инвестиционная Промышленность и Судостроительная Верфь"
+    five = "Первая Восточная Медная Горная Рубежка"
+    aliases = spark.createDataFrame([("ПАО «ВТБ»", "ВТБ"), ("ПАО «МТС»", "MTSS"), ("ГК Верфь", long), ("АО Рубежка", five), ("АО Двор", "Двор"), ("ООО Двор", "Двор")], "issuer string, alias string")
+    asked = {"BTБ": {"ПАО «ВТБ»"}, "МТС Ltd": {"ПАО «МТС»"}, "МТСС": {"ПАО «МТС»"}, long.replace("Нефте", "Нетфе"): {"ГК Верфь"}, long.replace("Верфь", "Верф").replace("Объеди", "Обеди"): {"ГК Верфь"}, "Рубежка Горная Медная Восточная Первая": {"АО Рубежка"}, "Горная Рубежка Медная Первая Восточня": {"АО Рубежка"}, "двор": {"АО Двор", "ООО Двор"}, "ВТК": set(), "к" * 9000: set()}
+    df = spark.createDataFrame([("f", str(i), n) for i, n in enumerate(asked)], "tbl string, row_key string, name string")
+    text = f"Вчера {long.replace('Нефте', 'Нетфе')} открыла книгу."
+    tx = spark.createDataFrame([("p", "1", text)], "tbl string, row_key string, text string")
+    for most in (100, 2):
+        rows = link_fields(df, tx, aliases, most).collect()
+        got = {n: {r["issuer"] for r in rows if r["tbl"] == "f" and r["row_key"] == str(i)} for i, n in enumerate(asked)}
+        assert got == asked
+        assert {r["ties"] for r in rows if "Двор" in r["issuer"]} == {2} and {r["ties"] for r in rows if "Двор" not in r["issuer"]} == {1}
+        assert {(r["issuer"], r["listed"]) for r in rows if r["tbl"] == "p"} == {("ГК Верфь", False)}
+
+
+def test_keys_meet_within_two_edits():
+    import random
+
+    rng = random.Random(8)
+    for n in (8, 20, LONG - 2, LONG, LONG + 1, LONG + 9):
+        for _ in range(60):
+            a = [rng.choice("абвгд") for _ in range(n)]
+            b = a[:]
+            for _ in range(2):
+                i = rng.randrange(len(b) - 1)
+                rng.choice([lambda: b.pop(i), lambda: b.insert(i, "ж"), lambda: b.__setitem__(i, "ж"), lambda: b.__setitem__(slice(i, i + 2), [b[i + 1], b[i]])])()
+            x, y = "".join(a), "".join(b)
+            if edit_distance(x, y) <= 2:
+                assert not set(keys_of(x, False)).isdisjoint(keys_of(y, True)), (x, y)
