@@ -22,9 +22,9 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
 
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
     """Keys that hold at least ``share`` of all rows (null keys count as rows, not as keys); at most 1/share values."""
-    counts = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r["k"] for r in counts.where(F.col("k").isNotNull() & (F.col("n") >= share * total)).limit(int(1 / share) + 1).collect()]
+    total = df.count()  # of a table by its footers, without reading a column
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return [r["k"] for r in counts.where(F.col("n") >= share * total).limit(int(1 / share) + 1).collect()]
 
 
 def salted_aggregate(
@@ -61,12 +61,14 @@ def salted_aggregate(
         F.sum("__n").alias("n"),
         *[F.sum(f"__s_{n}").alias(n) for n in sums], *[F.min(f"__m_{n}").alias(n) for n in minima], *[F.max(f"__x_{n}").alias(n) for n in maxima],
     )
-    for name in distinct:
-        value = F.col(f"__d_{name}")
-        salt = F.when(hot, F.pmod(F.xxhash64(value), F.lit(salts))).otherwise(F.lit(0))
-        pairs = base.where(value.isNotNull()).select("__key", salt.alias("__salt"), value.alias("__v")).distinct()
-        counts = pairs.groupBy("__key", "__salt").agg(F.count(F.lit(1)).alias("__c")).groupBy("__key").agg(F.sum("__c").alias(name))
-        out = out.join(counts, "__key", "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("bigint")))
+    if distinct:
+        # all sets of values in one more pass: (key, salt, number of the set, value), the value as text, which tells all plain values apart
+        sets = [F.struct(F.lit(i).alias("i"), F.col(f"__d_{n}").cast("string").alias("v")) for i, n in enumerate(distinct)]
+        pairs = base.select("__key", F.explode(F.array(*sets)).alias("p"), hot.alias("__hot")).where("p.v is not null")
+        pairs = pairs.select("__key", F.col("p.i").alias("__i"), F.col("p.v").alias("__v"), F.when(F.col("__hot"), F.pmod(F.xxhash64("p.v"), F.lit(salts))).otherwise(F.lit(0)).alias("__salt")).distinct()
+        per = pairs.groupBy("__key", "__salt").agg(*[F.count_if(F.col("__i") == i).alias(n) for i, n in enumerate(distinct)])
+        counts = per.groupBy("__key").agg(*[F.sum(n).alias(n) for n in distinct])
+        out = out.join(counts, "__key", "left").na.fill(0, list(distinct))
     return out.withColumnRenamed("__key", key)
 
 

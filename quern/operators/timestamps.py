@@ -20,7 +20,7 @@ DAY_US = 86_400_000_000
 #: Width of the local-time buckets into which offset intervals are exploded.
 BUCKET_US = 32 * DAY_US
 #: Offset intervals are known for these years; a zoned wall time outside them matches none.
-YEARS = (1970, 2060)
+YEARS = (1900, 2100)
 
 # Month names (Russian and English, as first letters) and zone abbreviations.
 MONTHS = [
@@ -47,7 +47,8 @@ _FORMS = [
     (r"^(\d{4})-(\d{2})-(\d{2})(?:[t ](.*))?$", "i|$1|$2|$3|$4"),
     (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?: (.*))?$", "i|$1|$2|$3|$4"),
     (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})(?: ?г\.?)?(?:,? (.*))?$", "i|$3|$2|$1|$4"),
-    (r"^(\d{1,2})\.(\d{1,2})\.(\d{2})(?:,? (.*))?$", "i|20$3|$2|$1|$4"),
+    (r"^(\d{1,2})\.(\d{1,2})\.([0-6]\d)(?:,? (.*))?$", "i|20$3|$2|$1|$4"),
+    (r"^(\d{1,2})\.(\d{1,2})\.([7-9]\d)(?:,? (.*))?$", "i|19$3|$2|$1|$4"),
     (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?:,? (.*))?$", "u|$3|$1|$2|$4"),
     (r"^(\d{4})(\d{2})(\d{2})t(\d{2})(\d{2})(\d{2})(z?)$", "i|$1|$2|$3|$4:$5:$6$7"),
     (r"^(?:[a-z]{3}, )?(\d{1,2}) ([а-яёa-z]{3})[а-яёa-z]*\.? (\d{4})(?: г\.?)?(?:,? (.*))?$", "n|$3|$2|$1|$4"),
@@ -159,7 +160,7 @@ def zone_intervals(zones: list[str], years: tuple[int, int] = YEARS) -> list[tup
 
 
 def interval_table(spark: SparkSession, zones: list[str], years: tuple[int, int] = YEARS) -> DataFrame:
-    """:func:`zone_intervals` as a DataFrame (at most about 1,100 rows a zone)."""
+    """:func:`zone_intervals` as a DataFrame (at most about 2,300 rows a zone)."""
     return spark.createDataFrame(zone_intervals(zones, years), "zone string, bucket bigint, spans array<struct<lo bigint, hi bigint, off bigint>>")
 
 
@@ -192,9 +193,15 @@ def resolve_utc(df: DataFrame, intervals: DataFrame, parsed: str, home_zone: str
     return df.withColumn(out, utc).withColumn(f"{out}_status", status).drop("__local", "__zone", "__bucket", "__iz", "__ib", "__spans", "__hits")
 
 
+#: More home zones than the IANA list has are an error.
+MOST_ZONES = 1000
+
+
 def feed_zones(feeds: DataFrame) -> list[str]:
-    """The distinct home zones of ``feeds``; their number is bounded by the IANA list of zones."""
-    rows = feeds.select("home_zone").where(F.col("home_zone").isNotNull()).distinct().limit(1000).collect()
+    """The distinct home zones of ``feeds``; their number is bounded by the IANA list of zones, more than MOST_ZONES are an error."""
+    rows = feeds.select("home_zone").where(F.col("home_zone").isNotNull()).distinct().limit(MOST_ZONES + 1).collect()
+    if len(rows) > MOST_ZONES:
+        raise ValueError(f"over {MOST_ZONES} home zones")
     return sorted({r[0] for r in rows} | set(ABBREVIATION_ZONES.values()))
 
 
@@ -202,12 +209,13 @@ def publication_instants(messages: DataFrame, posts: DataFrame, articles: DataFr
     """(tbl, row_key, written, utc_us, utc_us_status): every message, post and article with its instant or null.
 
     Times without a zone run on the home clock of the row's feed. ``collected_at`` / ``fetched_at`` (ISO, UTC) is the
-    base of relative days, on the feed's clock. Rows of one key are kept apart; null keys yield a null ``row_key``.
+    base of relative days, on the feed's clock. A feed listed with several zones has no known clock. Rows of one key are kept apart; null keys yield a null ``row_key``.
     """
     spark = feeds.sparkSession
     spans = interval_table(spark, feed_zones(feeds))
-    home = feeds.select(F.col("feed").alias("__feed"), F.col("home_zone").alias("__home")).dropDuplicates(["__feed"])
-    home = checked_broadcast(home)
+    home = feeds.where("feed is not null").groupBy(F.col("feed").alias("__feed")).agg(F.min("home_zone").alias("__home"), F.max("home_zone").alias("__other"))
+    home = checked_broadcast(home.select("__feed", F.when(F.col("__home") == F.col("__other"), F.col("__home")).alias("__home")))
+
     def local_day(at: str) -> Column:
         return F.date_from_unix_date(F.floor(F.unix_micros(F.from_utc_timestamp(F.try_to_timestamp(F.col(at)), F.coalesce(F.col("__home"), F.lit("UTC")))) / DAY_US).cast("int"))
 
