@@ -56,12 +56,35 @@ def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def html_cells(df: DataFrame, html: str, label: str, out: str) -> DataFrame:
-    """The table cell behind the one that holds ``label``; where there is none, the text behind the label up to the end of its line."""
-    cell = F.regexp_extract(html, rf"(?is)<t[dh][^>]*>\s*{label}\s*:?\s*</t[dh]>\s*<td[^>]*>(.*?)</td>", 1)
+def html_cells(df: DataFrame, html: str, label: str, out: str, ends: list[str] | None = None) -> DataFrame:
+    """The value of ``label`` in a page, its distinct parts joined by '; ', or null.
+
+    First the cell behind the one that holds the label alone (with ``ends`` the texts of all cells behind it); else the texts behind the label up to
+    one of ``ends`` (without: the next text); else what follows the label in bold in the next cell, or on its line.
+    """
+    text = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"&nbsp;|\u00a0", " "), r"\s+", " "))
+    pieces = lambda c: F.filter(F.transform(F.split(c, r"(?s)<[^>]*>"), lambda x: F.regexp_replace(text(x), r'^"+|"+$', "")), lambda x: x != "")
+    joined = lambda c: F.nullif(F.array_join(F.array_distinct(c), "; "), F.lit(""))
+    row = F.regexp_extract(html, rf"(?is)<t[dh][^>]*>\s*(?:<[^>]+>\s*)*{label}\s*:?\s*(?:</[^>]+>\s*)*</t[dh]>(.*?)</tr>", 1)
+    cell = F.nullif(text(F.regexp_replace(F.regexp_extract(row, r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", 1), r"(?s)<[^>]+>", " ")), F.lit(""))
+    stream = pieces(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " "))
+    at = F.array_position(stream, label)
+    behind = F.slice(stream, F.greatest(at, F.lit(0)) + 1, F.greatest(F.size(stream), F.lit(1)))
+    stop = F.array_min(F.array(*[F.when(F.array_position(behind, e) > 0, F.array_position(behind, e)).otherwise(F.lit(1 << 30)) for e in ends])) if ends else F.lit(2)
+    listed = F.when(at > 0, F.slice(behind, F.lit(1), (F.least(stop, F.size(behind) + 1) - 1).cast("int")))
+    bold = F.regexp_extract(html, rf"(?is){label}\s*</b>.*?<td[^>]*>\s*(?:&quot;|\"|')?([^<\"']+)", 1)
     line = F.regexp_extract(F.regexp_replace(html, r"(?s)<[^>]+>", "\n"), rf"(?i){label}\s*:?\s*([^\n]+)", 1)
-    text = F.coalesce(F.nullif(F.trim(F.regexp_replace(cell, r"(?s)(?:<[^>]+>|\s)+", " ")), F.lit("")), F.nullif(F.trim(line), F.lit("")))
-    return df.withColumn(out, text)
+    return df.withColumn(out, F.coalesce(joined(pieces(row)) if ends else cell, joined(listed), F.nullif(text(bold), F.lit("")), F.nullif(text(line), F.lit(""))))
+
+
+def rating_history(df: DataFrame, html: str, key: str, headers: tuple[str, ...] = ("национальная", "шкала", "рейтинг", "дата")) -> DataFrame:
+    """(key, nth, rating, day, written): rows of two cells and more of the tables of a page, the second holding a date; rows with a word of ``headers`` are none."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(c, r"(?s)(?:<[^>]+>|\s)+", " ")))
+    out = df.select(F.col(key), F.posexplode(F.filter(F.transform(rows, cells), lambda c: F.size(c) >= 2)).alias("nth", "c"))
+    rating, written = F.col("c")[0], F.col("c")[1]
+    day = F.try_to_date(F.regexp_extract(written, r"(\d{2}\.\d{2}\.\d{4})", 1), "dd.MM.yyyy")
+    return out.where((rating != "") & ~F.lower(rating).rlike("|".join(headers))).select(key, "nth", rating.alias("rating"), day.alias("day"), written.alias("written"))
 
 
 def html_links(df: DataFrame, html: str, out: str = "links") -> DataFrame:
