@@ -10,6 +10,7 @@ says) less the cost of the rewriting. A spelling that several organisations reac
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations, permutations
@@ -77,11 +78,11 @@ def squeeze(text: str) -> str:
     return "".join(c for i, c in enumerate(text) if not i or text[i - 1] != c)
 
 
-def deletions(form: str) -> Iterator[str]:
-    """``form`` with up to MOST_EDITS letters left out, as its length allows."""
+def deletions(form: str, most: int = MOST_EDITS) -> Iterator[str]:
+    """``form`` with up to ``most`` letters left out, as its length allows."""
     yield form
     n = len(form)
-    for k in range(1, (n >= LEAST_ONE) + (n >= LEAST_TWO) + 1):
+    for k in range(1, min(most, (n >= LEAST_ONE) + (n >= LEAST_TWO)) + 1):
         for drop in combinations(range(n), k):
             yield "".join(form[a + 1 : b] for a, b in zip((-1, *drop), (*drop, n)))
 
@@ -92,16 +93,16 @@ def _one_left_out(form: str) -> Iterator[str]:
         yield form[:i] + form[i + 1 :]
 
 
-def keys_of(form: str, asked: bool) -> Iterator[str]:
+def keys_of(form: str, asked: bool, most: int = MOST_EDITS) -> Iterator[str]:
     """Keys of which two forms at most MOST_EDITS apart (as their lengths allow) share one: ``asked`` for a spelling, else of the register.
 
     Forms up to LONG letters meet by their deletions. Longer ones, whose deletions would grow as the square of the length, meet by halves: of two edits
     one half of the registered form has one at most (a swap over the middle is one in each half), so a half with up to one letter left out
-    equals a beginning or end of the spelling, of about that length, with up to one left out.
+    equals a beginning or end of the spelling, of about that length, with up to one left out. With ``most`` 1 forms up to LONG letters meet within one edit only.
     """
     n = len(form)
     if n <= LONG:
-        yield from deletions(form)
+        yield from deletions(form, most)
     if n > LONG - OVERLAP:
         if asked:
             for m in range((n - MOST_EDITS) // 2 - 1, (n + MOST_EDITS + 1) // 2 + 2):
@@ -299,7 +300,7 @@ def key_of(form: str) -> int:
     return xxhash.xxh3_64_intdigest(form) - (1 << 63)
 
 
-def _explode_forms(batches, known: frozenset[str], longest: int):
+def _explode_forms(batches, known: frozenset[str], longest: int, most: int):
     """name -> (name, form, key): keys of the folded name without legal forms, whole and with letters left out. Forms over ``longest`` letters equal none."""
     schema = pa.schema([("name", pa.string()), ("form", pa.string()), ("key", pa.int64())])
     for b in batches:
@@ -312,7 +313,7 @@ def _explode_forms(batches, known: frozenset[str], longest: int):
                 ordered = "".join(sorted(script(x) for x in w))
                 forms |= {ordered, squeeze(ordered)}
             for form in (f for f in forms if 0 < len(f) <= longest):
-                out += [(name, form, key_of(key)) for key in {form, *keys_of(form, True)}]
+                out += [(name, form, key_of(key)) for key in {form, *keys_of(form, True, most)}]
             if len(out) > 20_000:
                 yield _batch(out, schema)
                 out = []
@@ -334,16 +335,28 @@ def link_names(names: DataFrame, registers: list[Register]) -> DataFrame:
     spark = names.sparkSession
     known = frozenset().union(*(r.known for r in registers))
     forms = functools.reduce(DataFrame.unionByName, (r.forms(spark) for r in registers))
-    forms = materialize(keyed_forms(forms, len({i for r in registers for i in r.listed})), "forms")
+    organisations = len({i for r in registers for i in r.listed})
+    forms = materialize(keyed_forms(forms, organisations), "forms")
     longest = (forms.agg(F.max(F.length("registered"))).first()[0] or 0) + MOST_EDITS
+    forms = checked_broadcast(forms, 2_000_000, FORM_BYTES)
     # the names are few bytes but each is hundreds of keys: spread by number, which adaptive execution leaves alone, and by
     # another expression than distinct() has used, or the exchange is optimised away
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    exploded = names.where("name is not null").select("name").distinct().repartition(parts, F.xxhash64("name")).mapInArrow(functools.partial(_explode_forms, known=known, longest=longest), "name string, form string, key bigint")
-    hits = exploded.join(checked_broadcast(forms, 2_000_000, FORM_BYTES), "key").groupBy("name", "form", "registered", "issuer").agg(F.min("cost").alias("cost"), F.max("rarity").alias("rarity"))
-    hits = hits.mapInArrow(_distances, "name string, form string, registered string, issuer string, cost double, rarity double, edits int")
-    allowed = F.when(F.length("registered") < LEAST_ONE, 0).when(F.length("registered") < LEAST_TWO, 1).otherwise(MOST_EDITS)
-    hits = hits.where((F.col("edits") <= allowed) & (F.col("cost") + F.col("edits") <= MOST_COST)).withColumn("score", F.round(F.col("rarity") - COST_WEIGHT * (F.col("cost") + F.col("edits")), 6))
+    asked = names.where("name is not null").select("name").distinct()
+
+    def found(names, most):
+        exploded = names.repartition(parts, F.xxhash64("name")).mapInArrow(functools.partial(_explode_forms, known=known, longest=longest, most=most), "name string, form string, key bigint")
+        hits = exploded.join(forms, "key").groupBy("name", "form", "registered", "issuer").agg(F.min("cost").alias("cost"), F.max("rarity").alias("rarity"))
+        hits = hits.mapInArrow(_distances, "name string, form string, registered string, issuer string, cost double, rarity double, edits int")
+        allowed = F.when(F.length("registered") < LEAST_ONE, 0).when(F.length("registered") < LEAST_TWO, 1).otherwise(MOST_EDITS)
+        hits = hits.where((F.col("edits") <= allowed) & (F.col("cost") + F.col("edits") <= MOST_COST)).withColumn("score", F.round(F.col("rarity") - COST_WEIGHT * (F.col("cost") + F.col("edits")), 6))
+        return hits.select("name", "issuer", "registered", "score")
+
+    # all links within one edit first; a name needs those of two only if such a link could still score as much: at best the greatest rarity less two edits
+    near = materialize(found(asked, 1), "near")
+    bound = math.log(max(1, organisations)) + 1 - COST_WEIGHT * MOST_EDITS + 1e-6
+    settled = near.groupBy("name").agg(F.max("score").alias("s")).where(F.col("s") > bound).select("name")
+    hits = near.join(settled, "name", "left_semi").unionByName(found(asked.join(settled, "name", "left_anti"), MOST_EDITS))
     best = hits.groupBy("name", "issuer").agg(F.max(F.struct("score", "registered")).alias("x"))
     whole = Window.partitionBy("name")
     best = best.withColumn("top", F.max("x.score").over(whole)).where("x.score = top").withColumn("ties", F.count(F.lit(1)).over(whole))
