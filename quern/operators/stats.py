@@ -261,29 +261,44 @@ def average_car(ar: DataFrame) -> DataFrame:
     return ar.groupBy("t").agg(F.count(F.lit(1)).alias("events"), F.avg("ar").alias("aar"), F.try_divide(F.avg("ar"), F.stddev_samp("ar") / F.sqrt(F.count(F.lit(1)))).alias("t_stat"))
 
 
+#: P(N <= k) of a Poisson variable of mean one, k = 0, 1, …; beyond the last the chance is under 1e-13.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(15)])
+
+
+def poisson_weights(h: np.ndarray, draw: int) -> np.ndarray:
+    """How often each row (its 64-bit hash) is drawn in a bootstrap sample: the same whenever and wherever it is computed."""
+    x = h.astype(np.int64).view(np.uint64) + np.uint64(draw * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(_POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53).astype(np.float64)
+
+
+def _drawn_sums(rows: DataFrame, draws: int) -> DataFrame:
+    """(draw, s, n) of rows (h, s, n): weighted sums by draw; every task sends a row a draw, no row is written out for each draw."""
+
+    def sums(batches):
+        import pyarrow as pa
+
+        out = np.zeros((draws, 2))
+        for b in batches:
+            h, x = b.column("h").to_numpy(), np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("s", "n")])
+            for d in range(draws):
+                out[d] += poisson_weights(h, d + 1) @ x
+        yield pa.record_batch({"draw": pa.array(range(1, draws + 1), pa.int32()), "s": pa.array(out[:, 0]), "n": pa.array(out[:, 1])})
+
+    return rows.mapInArrow(sums, "draw int, s double, n double").groupBy("draw").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
 def bootstrap_means(df: DataFrame, keys: list[str], value: str, draws: int = 200, seed: int = 1) -> DataFrame:
-    """(draw, mean): Poisson bootstrap of a mean; each row's weight in a draw comes from a hash, so a lost task repeats it."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *keys, "draw"), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-    steps, total = [], 0.0
-    for j in range(6):
-        total += math.exp(-1) / math.factorial(j)
-        steps.append(total)
-    weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    drawn = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("__w", weight)
-    return drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("__v") * F.col("__w")), F.sum("__w").cast("double")).alias("mean"))
+    """(draw, mean): Poisson bootstrap of a mean; each row's weight in a draw comes from a hash of its keys, so a lost task repeats it."""
+    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(F.lit(seed), *keys).alias("h"), F.col(value).cast("double").alias("s"), F.lit(1.0).alias("n"))
+    return _drawn_sums(rows, draws).select("draw", F.try_divide("s", "n").alias("mean"))
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 200, seed: int = 1) -> DataFrame:
     """(draw, mean): bootstrap of a mean by whole clusters with Poisson weights; rows are summed up per cluster first."""
-    sums = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__n"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), F.col("draw")), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-    steps, total = [], 0.0
-    for j in range(6):
-        total += math.exp(-1) / math.factorial(j)
-        steps.append(total)
-    weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__w", weight)
-    return drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("__s") * F.col("__w")), F.sum(F.col("__n") * F.col("__w")).cast("double")).alias("mean"))
+    sums = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).cast("double").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+    return _drawn_sums(sums.select(F.xxhash64(F.lit(seed), F.col(cluster)).alias("h"), "s", "n"), draws).select("draw", F.try_divide("s", "n").alias("mean"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:

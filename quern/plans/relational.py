@@ -286,7 +286,7 @@ def stratified_split(spark, d):
 
 def greedy_batches(spark, d):
     """Lines of an order in batches of at most 3 lines and 60 units."""
-    l = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").dropDuplicates(["l_orderkey", "l_linenumber"])
+    l = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
     return W.greedy_batches(l, "l_orderkey", "l_linenumber", "l_quantity", 3, 60).groupBy("l_orderkey").agg((F.max("batch") + 1).alias("batches"), F.count(F.lit(1)).alias("lines"))
 
 
@@ -370,6 +370,9 @@ ORACLE = {
     "earliest_merge": """WITH a AS (SELECT o_custkey, min(o_orderdate)::DATE x FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey, min(o_orderdate)::DATE y FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
         SELECT o_custkey, least(x, y) AS day, CASE WHEN x IS NULL THEN 'new' WHEN y < x THEN 'moved' ELSE 'kept' END AS action FROM a FULL JOIN b USING (o_custkey)""",
     "newest_messages": "SELECT channel, count(*) n, coalesce(sum(v), 0)::BIGINT views FROM (SELECT id, channel, max(views) v FROM messages GROUP BY ALL) GROUP BY channel",
+    "greedy_batches": """WITH RECURSIVE l AS (SELECT l_orderkey, l_quantity::BIGINT q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) r FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) l_quantity FROM lineitem GROUP BY ALL)),
+        f AS (SELECT l_orderkey, r, 0::BIGINT b, 1 n, q s FROM l WHERE r = 1 UNION ALL SELECT l.l_orderkey, l.r, CASE WHEN n < 3 AND s + q <= 60 THEN b ELSE b + 1 END, CASE WHEN n < 3 AND s + q <= 60 THEN n + 1 ELSE 1 END, CASE WHEN n < 3 AND s + q <= 60 THEN s + q ELSE q END FROM f JOIN l ON l.l_orderkey = f.l_orderkey AND l.r = f.r + 1)
+        SELECT l_orderkey, max(b) + 1 AS batches, count(*) AS lines FROM f GROUP BY 1""",
     "profile_numeric": "SELECT * FROM (" + " UNION ALL ".join(
         f"""SELECT '{c}' AS variable, count({c}) n, count(*) FILTER ({c} IS NULL) missing, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) std, round(min({c}), 4) AS min, round(quantile_cont({c}, 0.01), 4) p01, round(quantile_cont({c}, 0.05), 4) p05, round(quantile_cont({c}, 0.25), 4) p25,
         round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) p75, round(quantile_cont({c}, 0.95), 4) p95, round(quantile_cont({c}, 0.99), 4) p99, round(max({c}), 4) AS max, round(skewness({c}), 4) AS skew, round(kurtosis({c}), 4) AS kurtosis FROM lineitem"""

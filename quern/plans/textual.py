@@ -136,7 +136,16 @@ _NORM = "trim(regexp_replace(translate(lower(coalesce(text, '')), 'ё—–', '
 _TOK = "'[a-zа-я0-9]+(?:[-.][a-zа-я0-9]+)*'"
 _LOW = "('+', '++', 'ага', 'угу', 'ок', 'окей', 'да', 'нет', 'согласен', 'не согласен', 'норм', 'лол', 'жесть', 'имхо', 'ясно', 'понятно', 'спасибо', 'thanks')"
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_MINED = "regexp_extract_all(trim(regexp_replace(translate(lower(coalesce(text, '')), 'ё—–', 'е--'), '[\\s\\x{A0}]+', ' ', 'g')), '[a-zа-я0-9]+(?:[-.][a-zа-я0-9]+)*')"
 ORACLE = {
+    "snippets": "SELECT post_id, trim(regexp_replace(substr(text, greatest(strpos(lower(text), 'купон') - 220, 1), 440), '[\\s\\x{A0}]+', ' ', 'g')) snippet FROM (SELECT DISTINCT post_id, text FROM posts) WHERE regexp_matches(lower(text), '(?s)купон.{0,280}оферт|оферт.{0,280}купон')",
+    "index_sequences": f"""WITH t AS (SELECT item_id, regexp_extract_all(lower(text), {_TOK}) k FROM eval_items), u AS (SELECT item_id, unnest(k) term, generate_subscripts(k, 1) pos FROM t), v AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) + 1 i FROM (SELECT term, count(*) n FROM u GROUP BY 1 ORDER BY n DESC, term LIMIT 1500)),
+        s AS (SELECT item_id, list(coalesce(i, 1) ORDER BY pos) l FROM u LEFT JOIN v USING (term) GROUP BY 1), m AS (SELECT max(len(k)) n FROM t) SELECT item_id, array_to_string(list_concat(l, list_transform(range(n - len(l)), lambda x: 0)), ',') seq FROM s, m""",
+    "alias_mining": f"""WITH d AS (SELECT row_number() OVER () r, source, {_MINED} k FROM documents WHERE source IS NOT NULL),
+        g AS (SELECT DISTINCT r, source, unnest(list_concat(k, list_concat(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]), list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2])))) gram FROM d),
+        o AS (SELECT source, gram, count(*) docs_in FROM g WHERE length(gram) >= 3 AND NOT regexp_matches(gram, '^[0-9 .-]+$') GROUP BY ALL), a AS (SELECT gram, sum(docs_in) n FROM o GROUP BY 1),
+        s AS (SELECT source, gram, docs_in, (n - docs_in)::BIGINT docs_out, docs_in / (1 + n - docs_in) * ln(1 + docs_in) score FROM o JOIN a USING (gram) WHERE docs_in >= 4 AND n - docs_in <= 3)
+        SELECT source, gram, docs_in, docs_out, round(score, 6) score FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, docs_in DESC, gram) <= 25""",
     "normalize_text": f"SELECT comment_id, norm, len(regexp_extract_all(norm, {_TOK})) tokens, norm = '' OR norm IN {_LOW} OR len(regexp_extract_all(norm, {_TOK})) <= 2 AS short FROM (SELECT DISTINCT comment_id, text, {_NORM} norm FROM comments)",
     "bigram_counts": f"""WITH t AS (SELECT doc_id, regexp_extract_all({_NORM}, {_TOK}) k FROM documents), g AS (SELECT unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) gram FROM t)
         SELECT gram, count(*) n FROM g GROUP BY 1 ORDER BY n DESC, gram LIMIT 500""",
