@@ -269,3 +269,52 @@ def word_vectors(texts: DataFrame, key: str, tokens: Column, size: int = 100, wi
     rows = texts.select(F.col(key), tokens.alias("__t")).where("__t is not null")
     m = Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=epochs, seed=seed, inputCol="__t", outputCol="__v").fit(rows)
     return m.transform(rows).select(key, vector_to_array("__v").alias("vector"))
+
+
+def auc_steps(df: DataFrame, steps: list[list[str]], label: str, year: str, test_year: int) -> list[tuple[str, float, float]]:
+    """(features, AUC, gain): logistic regressions on growing sets of features, trained before ``test_year`` and tested on it; the gain is that over the set before."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    every = [f for s in steps for f in s]
+    rows = df.dropna(subset=[*every, label, year])
+    out, used, last = [], [], 0.5
+    for s in steps:
+        used = used + s
+        x = VectorAssembler(inputCols=used, outputCol="features").transform(rows)
+        m = LogisticRegression(labelCol=label).fit(x.where(F.col(year) < test_year))
+        auc = BinaryClassificationEvaluator(labelCol=label).evaluate(m.transform(x.where(F.col(year) == test_year)))
+        out.append(("+".join(used), auc, auc - last))
+        last = auc
+    return out
+
+
+def complete_linkage(df: DataFrame, key: str, features: list[str], groups: int, most: int = 2000) -> list[tuple[object, int]]:
+    """(key, group): agglomerative clustering by complete linkage of standardised features, groups numbered by their least key.
+
+    The method needs all distances, so it is for small tables: more than ``most`` rows are an error, none is left out silently. Rows with nulls take no part.
+    """
+    import numpy as np
+
+    rows = df.select(key, *features).dropna().orderBy(key).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"complete linkage takes {most} rows at most")
+    if not rows:
+        return []
+    x = np.array([[float(v) for v in r[1:]] for r in rows])
+    x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1.0)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    of = [[i] for i in range(len(x))]
+    alive = np.ones(len(x), bool)
+    for _ in range(max(0, len(x) - groups)):
+        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
+        d[i] = d[:, i] = np.maximum(d[i], d[j])
+        d[i, i] = np.inf
+        d[j] = d[:, j] = np.inf
+        of[i] += of[j]
+        alive[j] = False
+    order = sorted((min(of[i]), i) for i in np.flatnonzero(alive))
+    place = {r: g for g, (_, i) in enumerate(order) for r in of[i]}
+    return [(r[0], place[k]) for k, r in enumerate(rows)]

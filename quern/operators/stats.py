@@ -328,3 +328,46 @@ def principal_components(df: DataFrame, columns: list[str]) -> list[tuple[int, f
     v = np.linalg.eigvalsh(correlation_matrix(df, columns))[::-1]
     share = v / v.sum()
     return [(i + 1, float(s), float(c)) for i, (s, c) in enumerate(zip(share, np.cumsum(share)))]
+
+
+def non_negative_factors(df: DataFrame, columns: list[str], factors: int, steps: int = 40, inner: int = 20, seed: int = 1) -> tuple[np.ndarray, float]:
+    """(H, error): non-negative factorisation of the rows into ``factors`` parts, H a row a factor, and the Frobenius error.
+
+    Multiplicative updates; in each pass the tasks find the weights of their rows for the present H and send sums of the size of H, so no row is moved
+    or kept. Rows with a null or a negative value are left out.
+    """
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    for c in columns:
+        rows = rows.where(F.col(c) >= 0)
+    m = len(columns)
+    h = np.random.default_rng(seed).uniform(0.1, 1.0, (factors, m)) * np.array([v or 0.0 for v in rows.agg(*[F.avg(c) for c in columns]).first()], float)
+
+    def sums(h):
+        def part(batches):
+            import pyarrow as pa
+
+            wv, ww, vv, error = np.zeros((factors, m)), np.zeros((factors, factors)), 0.0, 0.0
+            for b in batches:
+                v = np.column_stack([b.column(c).to_numpy() for c in columns])
+                w = np.full((len(v), factors), 1.0)
+                for _ in range(inner):
+                    w *= (v @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
+                wv += w.T @ v
+                ww += w.T @ w
+                error += ((v - w @ h) ** 2).sum()
+            cells = np.r_[wv.ravel(), ww.ravel(), error]
+            yield pa.record_batch({"i": pa.array(range(len(cells)), pa.int32()), "v": pa.array(cells)})
+
+        got = {r["i"]: r["s"] for r in rows.mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("s")).collect()}
+        cells = np.array([got.get(i, 0.0) for i in range(factors * m + factors * factors + 1)])
+        return cells[: factors * m].reshape(factors, m), cells[factors * m : -1].reshape(factors, factors), float(cells[-1])
+
+    last = math.inf
+    for _ in range(steps):
+        wv, ww, error = sums(h)
+        if last - error < 1e-6 * max(error, 1e-12):
+            break
+        last = error
+        for _ in range(inner):
+            h = h * wv / np.maximum(ww @ h, 1e-12)
+    return h, math.sqrt(sums(h)[2])

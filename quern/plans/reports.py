@@ -123,7 +123,7 @@ def interaction_terms(spark, d):
 
 
 def cluster_bootstrap_mean(spark, d):
-    b = S.cluster_bootstrap(table(spark, d, "events", "user_id", "value"), "user_id", "value", 200)
+    b = S.cluster_bootstrap(table(spark, d, "events", "user_id", "value"), "user_id", "value", 999)
     return b.agg(F.count(F.lit(1)).alias("draws"), F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
 
 

@@ -91,7 +91,7 @@ def logit_urgent(spark, d):
 
 
 def bootstrap_mean(spark, d):
-    b = S.bootstrap_means(table(spark, d, "events", "event_id", "value"), ["event_id"], "value", 100)
+    b = S.bootstrap_means(table(spark, d, "events", "event_id", "value"), ["event_id"], "value", 999)
     return b.agg(F.count(F.lit(1)).alias("draws"), F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
 
 
@@ -162,12 +162,56 @@ def auc_bootstrap(spark, d):
     """Interval of the difference of two scores' AUC over paired draws."""
     e = table(spark, d, "events", "event_id", "event_type", "value")
     rows = e.select("event_id", (F.col("event_type") == "purchase").cast("int").alias("y"), F.least(F.col("value") / 500, F.lit(1.0)).alias("p"), (F.pmod(F.col("event_id"), F.lit(97)) / 97).alias("q"))
-    b = E.bootstrap_auc(rows, ["p", "q"], "y", ["event_id"], 100)
+    b = E.bootstrap_auc(rows, ["p", "q"], "y", ["event_id"])
     d_ = F.col("p") - F.col("q")
     return b.agg(F.count(F.lit(1)).alias("draws"), F.percentile("p", F.lit(0.025)).alias("low"), F.percentile("p", F.lit(0.975)).alias("high"), F.percentile(d_, F.lit(0.025)).alias("delta_low"), F.percentile(d_, F.lit(0.975)).alias("delta_high"))
 
 
-_NAMES = "tobit_price biprobit_flags auc_bootstrap market_model_car caar_by_event_day ols_simple ols_robust ols_cluster diagnostics cooks_distance durbin_watson logit_urgent bootstrap_mean auc_ranksum confusion_metrics threshold_tuning neutral_zone label_weights macro_scores temporal_scaling class_balancing"
+def line_robust(spark, d):
+    """Slope of a line with its standard errors: plain, robust (HC1, HC3) and by clusters of nations."""
+    o = _orders(spark, d)
+    rows = []
+    for kind in ("nonrobust", "HC1", "HC3", "cluster"):
+        f = S.ols(o, "price", ["balance"], cov=kind, cluster="nation" if kind == "cluster" else None)
+        i = f.names.index("balance")
+        rows.append((kind, float(f.beta[i]), float(f.se[i])))
+    return _table(spark, rows, "term", "slope", "se").select("term", F.round("slope", 7).alias("slope"), F.round("se", 7).alias("se"))
+
+
+def line_diagnostics(spark, d):
+    """Breusch-Pagan and Jarque-Bera statistics of a line, and variance inflation of two regressors."""
+    o = _orders(spark, d)
+    f = S.ols(o, "price", ["balance"], cov="nonrobust")
+    rows = [("breusch_pagan", f.breusch_pagan()[0]), ("jarque_bera", f.jarque_bera()[0]), ("vif", S.vif(o, ["balance", "year"])[0][1])]
+    return _table(spark, rows, "term", "statistic").select("term", F.round("statistic", 5).alias("statistic"))
+
+
+def logit_share(spark, d):
+    """A logit with one binary regressor: its coefficients are the log odds of the two groups, its average marginal effect the difference of shares by the derivative."""
+    o = _orders(spark, d).withColumn("rich", (F.col("balance") > 5).cast("double"))
+    f = S.Logit(o, "urgent", ["rich"])
+    return _table(spark, [(n, float(b)) for n, b in zip(f.names, f.beta)], "term", "estimate").select("term", F.round("estimate", 6).alias("estimate"))
+
+
+def auc_steps(spark, d):
+    """AUC of growing sets of features on a later year, and what each set adds."""
+    return _table(spark, L.auc_steps(_orders(spark, d), [["year"], ["balance"], ["price"]], "urgent", "year", 2000), "term", "auc", "gain")
+
+
+def factor_parts(spark, d):
+    """Error of non-negative factorisations of one and two factors."""
+    l = table(spark, d, "lineitem", "l_quantity", "l_discount", "l_tax").select(*[(F.col(c) / m).alias(c) for c, m in (("l_quantity", 50), ("l_discount", 0.1), ("l_tax", 0.08))])
+    return _table(spark, [(f"error_{k}", S.non_negative_factors(l, l.columns, k)[1]) for k in (1, 2)], "term", "value")
+
+
+def linked_groups(spark, d):
+    """Customers' segments by nation grouped by complete linkage: size of the three groups."""
+    n = table(spark, d, "customer", "c_nationkey", "c_acctbal").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m"), F.stddev_samp("c_acctbal").alias("s")).na.fill(0.0)
+    g = L.complete_linkage(n, "c_nationkey", ["m", "s"], 3)
+    return _table(spark, [(str(k), float(v)) for k, v in g], "term", "group")
+
+
+_NAMES = "line_robust line_diagnostics logit_share auc_steps factor_parts linked_groups tobit_price biprobit_flags auc_bootstrap market_model_car caar_by_event_day ols_simple ols_robust ols_cluster diagnostics cooks_distance durbin_watson logit_urgent bootstrap_mean auc_ranksum confusion_metrics threshold_tuning neutral_zone label_weights macro_scores temporal_scaling class_balancing"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _MM = """l AS (SELECT l_suppkey AS security, l_shipdate::DATE AS d0, l_extendedprice p FROM lineitem), r AS (SELECT security, d0, avg(p) r FROM l GROUP BY ALL), m AS (SELECT d0, avg(p) rm FROM l GROUP BY d0),
@@ -175,7 +219,15 @@ _MM = """l AS (SELECT l_suppkey AS security, l_shipdate::DATE AS d0, l_extendedp
     n AS (SELECT x.*, event_day, i - 300 AS t FROM x JOIN e USING (security)), est AS (SELECT security, regr_intercept(r, rm) a, regr_slope(r, rm) b FROM n WHERE t >= -196 AND t < -16 GROUP BY 1 HAVING count(*) = 180),
     w AS (SELECT security, event_day, t, r - (a + b * rm) ar FROM n JOIN est USING (security) WHERE t BETWEEN -2 AND 2)"""
 _SC = "s AS (SELECT (event_type = 'purchase')::INT y, least(value / 500, 1.0) p FROM events)"
+_XY = "d AS (SELECT o_totalprice / 1000 y, c_acctbal / 1000 x, c_nationkey g, year(o_orderdate)::DOUBLE z FROM orders JOIN customer ON o_custkey = c_custkey), f AS (SELECT regr_intercept(y, x) a, regr_slope(y, x) b, avg(x) mx, count(*) n, var_pop(x) * count(*) sxx FROM d), e AS (SELECT y - a - b * x e, x - mx c, 1 / n + (x - mx) * (x - mx) / sxx h, g, n, sxx, b, x FROM d, f)"
 ORACLE = {
+    "line_robust": f"""WITH {_XY}, s AS (SELECT any_value(b) b, any_value(n) n, any_value(sxx) sxx, sum(e * e) ee, sum(c * c * e * e) w, sum(c * c * e * e / ((1 - h) * (1 - h))) w3 FROM e), k AS (SELECT sum(u * u) u, count(*) g FROM (SELECT sum(c * e) u FROM e GROUP BY g))
+        SELECT 'nonrobust' term, round(b, 7) slope, round(sqrt(ee / (n - 2) / sxx), 7) se FROM s UNION ALL SELECT 'HC1', round(b, 7), round(sqrt(n / (n - 2) * w) / sxx, 7) FROM s UNION ALL SELECT 'HC3', round(b, 7), round(sqrt(w3) / sxx, 7) FROM s
+        UNION ALL SELECT 'cluster', round(b, 7), round(sqrt(u * (g / (g - 1)) * ((n - 1) / (n - 2))) / sxx, 7) FROM s, k""",
+    "line_diagnostics": f"""WITH {_XY}, m AS (SELECT avg(e) m FROM e), j AS (SELECT count(*) n, avg((e - m) ** 3) / avg((e - m) ** 2) ** 1.5 s, avg((e - m) ** 4) / avg((e - m) ** 2) ** 2 - 3 k FROM e, m)
+        SELECT 'breusch_pagan' term, round(count(*) * regr_r2(e * e, x), 5) statistic FROM e UNION ALL SELECT 'jarque_bera', round(n / 6 * (s * s + k * k / 4), 5) FROM j UNION ALL SELECT 'vif', round(1 / (1 - corr(x, z) ** 2), 5) FROM d""",
+    "logit_share": """WITH g AS (SELECT c_acctbal > 5000 r, avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END) p FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), o AS (SELECT max(ln(p / (1 - p))) FILTER (NOT r) a, max(ln(p / (1 - p))) FILTER (r) b FROM g)
+        SELECT 'const' term, round(a, 6) estimate FROM o UNION ALL SELECT 'rich', round(b - a, 6) FROM o""",
     "market_model_car": f"WITH {_MM} SELECT security, event_day, t, round(ar, 4) ar, round(sum(ar) OVER (PARTITION BY security ORDER BY t ROWS UNBOUNDED PRECEDING), 4) car FROM w",
     "caar_by_event_day": f"WITH {_MM} SELECT t, count(*) AS events, round(avg(ar), 4) aar, round(avg(ar) / (stddev_samp(ar) / sqrt(count(*))), 4) t_stat FROM w GROUP BY t",
     "ols_simple": "SELECT round(regr_intercept(y, x), 6) intercept, round(regr_slope(y, x), 6) slope, round(regr_r2(y, x), 8) r2, count(*)::DOUBLE n FROM (SELECT o_totalprice / 1000 y, c_acctbal / 1000 x FROM orders JOIN customer ON o_custkey = c_custkey)",

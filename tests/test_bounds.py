@@ -119,3 +119,18 @@ def test_lines_and_ridge(spark):
 def test_winner_needs_a_lead(spark):
     df = spark.createDataFrame([("a", "x", 0.9), ("a", "y", 0.7), ("b", "x", 0.9), ("b", "y", 0.85), ("c", "z", 0.1)], "k string, i string, s double")
     assert {(r["k"], r["i"]) for r in J.ranked_winner(df, "k", "s").collect()} == {("a", "x"), ("c", "z")}
+
+
+def test_factors_and_linkage(spark):
+    from quern.operators import stats as S
+
+    rng = np.random.default_rng(4)
+    w, h = rng.uniform(size=(200, 2)), rng.uniform(size=(2, 5))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in w @ h] + [(None, 1.0, 1.0, 1.0, 1.0)], "a double, b double, c double, d double, e double")
+    errors = [S.non_negative_factors(df, df.columns, k)[1] for k in (1, 2)]
+    assert errors[1] < 0.2 * errors[0] and (S.non_negative_factors(df, df.columns, 2)[0] >= 0).all()
+    pts = [(i, float(c * 10 + rng.normal() * 0.1), float(c)) for i, c in enumerate([0, 1, 0, 2, 1, 2, 2])]
+    got = L.complete_linkage(spark.createDataFrame([*pts, (99, None, 1.0)], "k int, x double, y double"), "k", ["x", "y"], 3)
+    assert got == [(0, 0), (1, 1), (2, 0), (3, 2), (4, 1), (5, 2), (6, 2)]
+    with pytest.raises(ValueError, match="most"):
+        L.complete_linkage(df, "a", ["b"], 2, most=10)
