@@ -65,6 +65,10 @@ def longest_passage(item: np.ndarray, text: np.ndarray, low: int, high: int, lea
     at = np.arange(n)[:, None] + diagonal[None, :]
     inside = (at >= 0) & (at < m)
     same = inside & (text[np.clip(at, 0, m - 1)] == item[:, None])
+    # some least_words words of a passage have twice the edits of so many at most, so that many less keep a word on some diagonal
+    kept_words = np.r_[0, np.cumsum(same.any(axis=1))]
+    if (kept_words[least_words:] - kept_words[:-least_words]).max() < least_words - 2 * least_words // per_edit:
+        return None
     wide = len(diagonal)
     # the first place from i on where the diagonal's words differ, as a flat table
     stop = np.full((n + 2, wide), n, np.int64)
@@ -72,10 +76,11 @@ def longest_passage(item: np.ndarray, text: np.ndarray, low: int, high: int, lea
     stop = np.minimum.accumulate(stop[::-1], axis=0)[::-1].ravel()
     more = np.zeros((n + 2, wide), np.int64)
     more[:n] = inside
-    more, column, start = more.ravel(), np.arange(wide), np.arange(n)[:, None]
-    front = np.broadcast_to(start, (n, wide))  # only changed words so far
-    fits = np.ones((n, wide), np.int64)
-    reach = np.full((n, wide), -1, np.int64)  # begun with a kept word, whatever came last; -1 not yet
+    starts = n - least_words + 1  # a later start has too few words behind it
+    more, column, start = more.ravel(), np.arange(wide), np.arange(starts)[:, None]
+    front = np.broadcast_to(start, (starts, wide))  # only changed words so far
+    fits = np.ones((starts, wide), np.int64)
+    reach = np.full((starts, wide), -1, np.int64)  # begun with a kept word, whatever came last; -1 not yet
     ended, best = reach, None  # a kept word came last, or only changed ones since
 
     def kept(place, valid):
