@@ -339,6 +339,7 @@ def non_negative_factors(df: DataFrame, columns: list[str], factors: int, steps:
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     for c in columns:
         rows = rows.where(F.col(c) >= 0)
+    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()  # read in every pass
     m = len(columns)
     h = np.random.default_rng(seed).uniform(0.1, 1.0, (factors, m)) * np.array([v or 0.0 for v in rows.agg(*[F.avg(c) for c in columns]).first()], float)
 
@@ -362,7 +363,7 @@ def non_negative_factors(df: DataFrame, columns: list[str], factors: int, steps:
         cells = np.array([got.get(i, 0.0) for i in range(factors * m + factors * factors + 1)])
         return cells[: factors * m].reshape(factors, m), cells[factors * m : -1].reshape(factors, factors), float(cells[-1])
 
-    last = math.inf
+    last, error = math.inf, 0.0
     for _ in range(steps):
         wv, ww, error = sums(h)
         if last - error < 1e-6 * max(error, 1e-12):
@@ -370,4 +371,7 @@ def non_negative_factors(df: DataFrame, columns: list[str], factors: int, steps:
         last = error
         for _ in range(inner):
             h = h * wv / np.maximum(ww @ h, 1e-12)
-    return h, math.sqrt(sums(h)[2])
+    else:
+        error = sums(h)[2]
+    rows.unpersist()
+    return h, math.sqrt(error)

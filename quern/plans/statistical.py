@@ -201,7 +201,7 @@ def auc_steps(spark, d):
 def factor_parts(spark, d):
     """Error of non-negative factorisations of one and two factors."""
     l = table(spark, d, "lineitem", "l_quantity", "l_discount", "l_tax").select(*[(F.col(c) / m).alias(c) for c, m in (("l_quantity", 50), ("l_discount", 0.1), ("l_tax", 0.08))])
-    return _table(spark, [(f"error_{k}", S.non_negative_factors(l, l.columns, k)[1]) for k in (1, 2)], "term", "value")
+    return _table(spark, [(f"error_{k}", S.non_negative_factors(l, l.columns, k, 12)[1]) for k in (1, 2)], "term", "value")
 
 
 def linked_groups(spark, d):
