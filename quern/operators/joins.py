@@ -68,16 +68,19 @@ def asof_join(targets: DataFrame, history: DataFrame, key: str, at: str, history
 
 
 def next_in_calendar(events: DataFrame, calendar: DataFrame, at: str, day: str) -> DataFrame:
-    """Each event with the first calendar day at or after it, ``next_day``; null past the end. The calendar is a column of distinct days."""
-    days = calendar.select(F.col(day).alias("__d")).where("__d is not null").distinct()
-    both = days.select(F.col("__d").alias("__t"), F.lit(0).alias("__side")).unionByName(events.select(F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct("*").alias("__row")), allowMissingColumns=True)
-    w = Window.partitionBy(F.year("__t")).orderBy(F.desc("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0)
-    firsts = days.groupBy(F.year("__d").alias("__y")).agg(F.min("__d").alias("__f"))
-    both = both.withColumn("__n", F.min(F.when(F.col("__side") == 0, F.col("__t"))).over(w))
-    rows = both.where("__side = 1").withColumn("__y", F.year("__t"))
-    later = rows.where("__n is null and __t is not null").join(checked_broadcast(firsts.withColumnRenamed("__y", "__fy")), F.col("__fy") > F.col("__y"), "left").groupBy("__row").agg(F.min("__f").alias("next_day"), F.count(F.lit(1)).alias("__c"))
-    known = rows.where("__n is not null or __t is null").select("__row.*", F.col("__n").alias("next_day"))
-    return known.unionByName(later.select("__row.*", "next_day"))
+    """Each event with the first calendar day at or after it, ``next_day``; null past the end, and for a null time. The calendar is a column of distinct days.
+
+    A calendar is a row a day: the days from one entry to the next are written out with the one they lead to, and events are equi-joined with them by
+    their date (a moment after midnight by the date after), so events of a day need not meet in one task. Events before the calendar have its first day.
+    """
+    days = calendar.select(F.to_date(day).alias("__d")).where("__d is not null").distinct()
+    steps = days.withColumn("__from", F.date_add(F.lag("__d").over(Window.orderBy("__d")), 1))  # a row a day of the calendar
+    steps = steps.select(F.col("__d").alias("next_day"), F.explode(F.sequence(F.coalesce("__from", "__d"), F.col("__d"))).alias("__day"))
+    first = days.agg(F.min("__d").alias("__first"))
+    t = F.col(at)
+    date = F.to_date(t)
+    rows = events.crossJoin(F.broadcast(first)).withColumn("__asked", F.greatest(F.when(t > date.cast(events.schema[at].dataType), F.date_add(date, 1)).otherwise(date), F.when(t.isNotNull(), F.col("__first"))))
+    return rows.join(checked_broadcast(steps), F.col("__asked") == F.col("__day"), "left").select(*events.columns, "next_day")
 
 
 def fallback_lookup(rows: DataFrame, sources: list[tuple[DataFrame, list[str]]], value: str, out: str) -> DataFrame:

@@ -134,3 +134,18 @@ def test_factors_and_linkage(spark):
     assert got == [(0, 0), (1, 1), (2, 0), (3, 2), (4, 1), (5, 2), (6, 2)]
     with pytest.raises(ValueError, match="most"):
         L.complete_linkage(df, "a", ["b"], 2, most=10)
+
+
+def test_next_day_of_a_calendar(spark):
+    import datetime as dt
+
+    cal = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (5, 8, 9, 15, 9)] + [(None,)], "day date")
+    D = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    ev = [(1, D(1)), (2, D(5)), (3, D(5, 1)), (4, D(9, 23)), (5, D(15)), (6, D(15, 1)), (7, None), (8, D(8)), (8, D(8))]
+    want = {1: 5, 2: 5, 3: 8, 4: 15, 5: 15, 6: None, 7: None, 8: 8}
+    for kind in ("timestamp_ntz", "date"):
+        df = spark.createDataFrame(ev, "k int, t timestamp_ntz").withColumn("t", F.col("t").cast(kind))
+        rows = J.next_in_calendar(df, cal, "t", "day").collect()
+        exact = want if kind != "date" else want | {3: 5, 4: 9, 6: 15}
+        assert len(rows) == 9 and {r["k"]: r["next_day"] and r["next_day"].day for r in rows} == exact
+    assert {r["next_day"] for r in J.next_in_calendar(df, cal.limit(0), "t", "day").collect()} == {None}
